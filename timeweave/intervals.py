@@ -56,14 +56,13 @@ def point_join(
     inside = (F.col(point) >= F.col(start)) & (
         F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end)
     )
-    equal = [a[c] == b[c] for c in [*group, BUCKET]]
+    # Renamed keys keep joins of related tables unambiguous.
     condition = inside
-    for part in equal:
-        condition = condition & part
-    joined = a.join(b, condition, how)
     for c in [*group, BUCKET]:
-        joined = joined.drop(b[c])
-    return joined.drop(BUCKET)
+        b = b.withColumnRenamed(c, f"__right_{c}")
+        condition = condition & (F.col(c) == F.col(f"__right_{c}"))
+    joined = a.join(b, condition, how)
+    return joined.drop(BUCKET, *[f"__right_{c}" for c in [*group, BUCKET]])
 
 
 def within_join(

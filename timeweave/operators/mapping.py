@@ -81,18 +81,21 @@ def cursor_match(
         F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("__slice"))
     size = right.groupBy(group).agg(F.max("ord").alias("__last"))
     # ord -1 marks "nothing chosen"
+
     def choose(cursor: Column, row: Column) -> Column:
         options = F.transform(F.slice(F.col("__near"), (cursor - F.col("__base") + 1).cast("int"), lookahead),
                               lambda r: F.struct(score(row, r).alias("s"), (-r["ord"]).alias("o")))
-        best = F.array_max(options)
-        if threshold is not None:
-            best = F.when(best["s"] >= threshold, best)
-        picked = F.struct(F.coalesce(-best["o"], F.lit(-1).cast("long")).alias("ord"), F.coalesce(best["s"], F.lit(0.0)).alias("score"))
-        if forced:
+        def picked(best: Column) -> Column:
+            good = best["s"] >= threshold if threshold is not None else best.isNotNull()
+            choice = F.when(good, F.struct((-best["o"]).cast("long").alias("ord"), best["s"].alias("score"))).otherwise(
+                F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(0.0).alias("score")))
+            if not forced:
+                return choice
             own = F.get(F.col("__near"), (cursor - F.col("__base")).cast("int"))
-            exact = F.col("__last") + 1 - cursor == row["left_after"]
-            picked = F.when(exact & own.isNotNull(), F.struct(own["ord"].cast("long").alias("ord"), score(row, own).alias("score"))).otherwise(picked)
-        return picked
+            exact = (F.col("__last") + 1 - cursor == row["left_after"]) & own.isNotNull()
+            return F.when(exact, F.struct(own["ord"].cast("long").alias("ord"), score(row, own).alias("score"))).otherwise(choice)
+
+        return let(F.array_max(options), picked)
 
     result = "struct<rank:bigint,ord:bigint,score:double>"
 
@@ -179,10 +182,10 @@ def automatic_links(chapters: DataFrame, choices: DataFrame) -> DataFrame:
     backwards, those after it forwards; without a run all are matched forwards.
     """
     body = number_rows(body_chapters(chapters), Seq(("book_id",), ("position", "chapter_id"), by="position"), "rank")
-    body = cut_if_long(match_keys(body, F.col("title")))
+    body = cut_lineage(match_keys(body, F.col("title")))
     options = choices.withColumn("duration_ms", F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")))
-    options = match_keys(options, F.concat_ws(" ", "title", "path_label"))
-    fixed = sequence_assignment(body.select("book_id", "rank", "number", "text_length"), options.select("book_id", "ord", "title", "duration_ms"))
+    options = cut_lineage(match_keys(options, F.concat_ws(" ", "title", "path_label")))
+    fixed = cut_lineage(sequence_assignment(body.select("book_id", "rank", "number", "text_length"), options.select("book_id", "ord", "title", "duration_ms")))
     ends = fixed.groupBy("book_id").agg(F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("ord").alias("o0"), F.max("ord").alias("o1"))
     sized = options.groupBy("book_id").agg((F.max("ord") + 1).alias("n_choices"))
     left = body.select("book_id", "rank", "key", "number", "text_length").join(ends, "book_id", "left").join(sized, "book_id")
@@ -199,7 +202,7 @@ def automatic_links(chapters: DataFrame, choices: DataFrame) -> DataFrame:
     # Tail: the longest chapters that still fit, in document order.
     tail = left.filter("rank > r1").withColumn("available", F.greatest(F.lit(0), F.col("n_choices") - F.col("o1") - 1))
     tail = longest_in_order(tail, "available")
-    tail_ranks = number_rows(tail.drop("rank_in_tail"), Seq(("book_id",), ("rank",)), "t")
+    tail_ranks = cut_lineage(number_rows(tail.drop("rank_in_tail"), Seq(("book_id",), ("rank",)), "t"))
     counts = tail_ranks.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_tail"))
     tail_ranks = tail_ranks.join(counts, "book_id").withColumn("left_after", F.col("n_tail") - F.col("t"))
     fore = cursor_match(
@@ -237,11 +240,6 @@ def longest_in_order(rows: DataFrame, keep: str, group: str = "book_id") -> Data
     return whole.drop("__above", "__c").unionByName(ties.drop("__above", "__c", "rank_in_tail"))
 
 
-def cut_if_long(df: DataFrame) -> DataFrame:
-    """Materialise a table that several branches read."""
-    return cut_lineage(df)
-
-
 def match_subtitles(segments: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give cue times to segments: best of the next eight cues, at least .35.
 

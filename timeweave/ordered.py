@@ -66,10 +66,11 @@ def block_rows(df: DataFrame, default: int) -> int:
     return int(df.sparkSession.conf.get(ROWS_SETTING, str(default)))
 
 
-def prepare(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> tuple[DataFrame, Seq]:
-    """Decide between plain windows and blocks; in block mode materialise once."""
-    if seq.prepared:
-        return df, seq
+def measure(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> Seq:
+    """Decide once for a sequence whether plain windows do; one partially aggregated pass.
+
+    The decision also holds for any subset of the measured rows.
+    """
     limit = block_rows(df, rows)
     sizes = df.groupBy(*seq.group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -78,11 +79,22 @@ def prepare(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> tuple[DataFrame,
     width = sizes.filter(F.col("n") > limit).agg(
         F.min(F.greatest(F.col("span"), F.lit(1.0)) * limit / F.col("n"))
     ).first()[0]
-    if width is None:
-        return df, replace(seq, prepared=True)
-    seq = replace(seq, prepared=True, width=float(max(width, 1e-9)))
-    blocked = df.withColumn(BLOCK, F.floor(seq.by_expr / F.lit(seq.width)))
-    return cut_lineage(blocked.repartition(*seq.keys)), seq
+    return replace(seq, prepared=True, width=None if width is None else float(max(width, 1e-9)))
+
+
+def prepare(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> tuple[DataFrame, Seq]:
+    """Plain windows or blocks; in block mode the rows are written once, with their block."""
+    if seq.prepared:
+        return place(df, seq), seq
+    seq = measure(df, seq, rows)
+    return (df, seq) if seq.width is None else (cut_lineage(place(df, seq)), seq)
+
+
+def place(df: DataFrame, seq: Seq) -> DataFrame:
+    """Add the block number of a measured sequence where it is missing."""
+    if seq.width is None or BLOCK in df.columns:
+        return df
+    return df.withColumn(BLOCK, F.floor(seq.by_expr / F.lit(seq.width)))
 
 
 def finish(df: DataFrame) -> DataFrame:

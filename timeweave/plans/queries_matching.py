@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timeweave.functions.titles import chapter_number, generic_marker_number, is_body, similarity
-from timeweave.functions.text import normalize_for_match, normalize_title
-from timeweave.operators import edits, location, mapping, matching, media
+from timeweave.functions.titles import chapter_number, generic_marker_number, is_body
+from timeweave.functions.text import normalize_title
+from timeweave.operators import location, mapping, matching
 from timeweave.plans import alignment
 from timeweave.plans import relations as r
 from timeweave.plans.registry import query
@@ -55,8 +55,8 @@ def unit_pairs(spark, sf):
 ALIGNED = PAIRS + """,
 hit AS (SELECT p.chapter_id, u.position, count(*) AS hits, min(t.token_pos) AS ft, max(t.token_pos) AS lt FROM pairs p JOIN units u ON u.chapter_id = p.chapter_id AND u."at" = p.a JOIN tr t ON t.chapter_id = p.chapter_id AND t."at" = p.b GROUP BY ALL),
 tot AS (SELECT chapter_id, position, count(*) AS n FROM units GROUP BY ALL),
-cp AS (SELECT *, sum(probability) OVER (PARTITION BY chapter_id ORDER BY token_pos) AS c, row_number() OVER (PARTITION BY chapter_id ORDER BY token_pos) AS k FROM tokens),
-fa AS (SELECT h.chapter_id, h.position, hits, s.start_ms AS ts, e.end_ms AS te, (e.c - s.c + s.probability) / (e.k - s.k + 1) AS p FROM hit h JOIN cp s ON s.chapter_id = h.chapter_id AND s.token_pos = h.ft JOIN cp e ON e.chapter_id = h.chapter_id AND e.token_pos = h.lt),
+cp AS (SELECT *, round_even(probability * 1e9, 0)::BIGINT AS p9, sum(round_even(probability * 1e9, 0)::BIGINT) OVER (PARTITION BY chapter_id ORDER BY token_pos) AS c, row_number() OVER (PARTITION BY chapter_id ORDER BY token_pos) AS k FROM tokens),
+fa AS (SELECT h.chapter_id, h.position, hits, s.start_ms AS ts, e.end_ms AS te, (e.c - s.c + s.p9)::BIGINT / 1e9::DOUBLE / (e.k - s.k + 1) AS p FROM hit h JOIN cp s ON s.chapter_id = h.chapter_id AND s.token_pos = h.ft JOIN cp e ON e.chapter_id = h.chapter_id AND e.token_pos = h.lt),
 cv AS (SELECT seg.chapter_id, seg.position, coalesce(hits, 0) / greatest(1, coalesce(n, 0))::DOUBLE AS cov, ts, te, p, hits IS NOT NULL AND hits / greatest(1, n)::DOUBLE >= 0.18 AS ok
        FROM seg LEFT JOIN tot ON tot.chapter_id = seg.chapter_id AND tot.position = seg.position LEFT JOIN fa ON fa.chapter_id = seg.chapter_id AND fa.position = seg.position),
 ca AS (SELECT *, coalesce(max(CASE WHEN ok THEN greatest(ts, te) END) OVER (PARTITION BY chapter_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carry,
@@ -65,10 +65,10 @@ ali AS (SELECT chapter_id, position, CASE WHEN ok THEN greatest(carry, ts) ELSE
         CASE WHEN NOT ok THEN 'unmatched' WHEN conf >= 0.58 THEN 'auto' ELSE 'low_confidence' END AS status FROM ca)"""
 
 
-@query("aligned_cues", r.with_sql(ALIGNED) + " SELECT chapter_id, position, start_ms, end_ms, round(confidence, 5) AS confidence, status FROM ali")
+@query("aligned_cues", r.with_sql(ALIGNED) + " SELECT chapter_id, position, start_ms, end_ms, floor(confidence * 100000 + 0.5) / 100000 AS confidence, status FROM ali")
 def aligned_cues(spark, sf):
     out, _ = alignment.aligned_documents(spark, sf)
-    return out.select("chapter_id", "position", "start_ms", "end_ms", F.round("confidence", 5).alias("confidence"), "status")
+    return out.select("chapter_id", "position", "start_ms", "end_ms", (F.floor(F.col("confidence") * 100000 + 0.5) / 100000).alias("confidence"), "status")
 
 
 @query("status_by_language", r.with_sql(ALIGNED) + """ SELECT lang, status, count(*) AS cues, round(avg(confidence), 4) AS confidence, sum(end_ms - start_ms)::BIGINT AS spoken_ms FROM ali JOIN documents ON doc_id = chapter_id GROUP BY lang, status""")
@@ -171,14 +171,14 @@ def chapter_numbers(spark, sf):
         generic_marker_number(F.concat(F.lit("Chapter "), F.lpad(k.cast("string"), 4, "0"))).alias("n_generic"))
 
 
-@query("title_scores", f"""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, {r.norm_sql('string_split(text, chr(10))[1]')} AS t, length(text) AS n FROM documents)
+@query("title_scores", f"""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, lower(regexp_replace(strip_accents(replace(lower(string_split(text, chr(10))[1]), 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS t, length(text) AS n FROM documents)
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(CASE WHEN a.t = '' OR b.t = '' THEN 0 ELSE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE END * 0.35
  + 0.1 * least(greatest(10000, a.n * 260), b.n * 250) / greatest(10000, a.n * 260, b.n * 250)::DOUBLE, 6) AS score FROM t a JOIN t b ON b.source = a.source AND b.k BETWEEN a.k AND a.k + 4""")
 def title_scores(spark, sf):
     """The first five candidates of every chapter inside its source."""
     from timeweave.ordered import Seq, number_rows
 
-    docs = r.table(spark, sf, "documents").select("doc_id", "source", normalize_for_match(F.split("text", "\n", -1)[0]).alias("key"), F.length("text").cast("long").alias("text_length"))
+    docs = r.table(spark, sf, "documents").select("doc_id", "source", normalize_title(F.split("text", "\n", -1)[0]).alias("key"), F.length("text").cast("long").alias("text_length"))
     docs = number_rows(docs, Seq(("source",), ("doc_id",)), "k")
     left = docs.withColumn("kk", F.explode(F.sequence(F.col("k"), F.col("k") + 4))).select(
         "source", "kk", F.col("doc_id").alias("left_id"), F.struct("key", F.lit("").alias("number"), "text_length").alias("l"))

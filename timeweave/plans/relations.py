@@ -222,7 +222,7 @@ units AS (SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY
 
 TOKENS = UNITS + """,
 tokens AS (SELECT chapter_id, "at" AS token_pos, unit AS text, "at" * 300 AS start_ms, "at" * 300 + 250 AS end_ms,
-                  0.5 + length(unit) % 5 / 10.0 AS probability FROM units WHERE length(unit) <> 2)"""
+                  0.5::DOUBLE + (length(unit) % 5)::DOUBLE / 10.0::DOUBLE AS probability FROM units WHERE length(unit) <> 2)"""
 
 
 def _cue_sql(source: str, spacing: int, longest: int, least: int) -> str:

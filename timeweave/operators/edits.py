@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.sentences import split_sentences
 from timeweave.functions.text import BLANKS, collapse, normalize_for_match, normalize_title, preferred_split, strip
 from timeweave.intervals import asof_join, overlap_join, point_join
-from timeweave.ordered import CHAPTER, Agg, Seq, finish, number_rows, prepare, prev, scan
+from timeweave.ordered import CHAPTER, Agg, Seq, finish, number_rows, prepare, prev, refine, scan
 
 
 def restore_chapters(fragments: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -143,7 +143,8 @@ def split_by_punctuation(segments: DataFrame, anchors: DataFrame | None = None)
     out = finish(scan(flat, seq, {"__run": Agg("max", F.col("__m"))}))
     end = F.when(F.col("i") == F.col("__n") - 1, F.col("end_ms")).otherwise(
         F.greatest(F.col("start_ms"), F.col("__run")) + (F.col("i") + 1) * F.col("__min"))
-    out, seq = prepare(out.withColumn("__e", F.when(F.col("__timed"), end).otherwise(F.lit(0))), Seq(("chapter_id", "position"), ("i",)))
+    out = out.withColumn("__e", F.when(F.col("__timed"), end).otherwise(F.lit(0)))
+    out, seq = prepare(out, refine(seq, ("chapter_id", "position")))
     out = finish(scan(out, seq, {"__prev": prev("__e")}))
     span = F.col("__b1") - F.col("__b0")
 

@@ -9,7 +9,7 @@ from timeweave.functions.text import normalize_for_match
 from timeweave.functions.timecode import clamp01, silence_edges
 from timeweave.intervals import asof_join, within_join
 from timeweave.operators.timeline import timed
-from timeweave.ordered import CHAPTER, Agg, Seq, finish, fold, number_rows, prepare, prev, scan
+from timeweave.ordered import CHAPTER, Agg, Seq, finish, fold, number_rows, prepare, prev, refine, scan
 
 FRAME_MS = 20
 FRAMES = Seq(order=("frame_no",))
@@ -287,7 +287,7 @@ def align_by_silence(
     )).alias("b"))
     placed = free.join(served, [*keys, "position"], "left")
     center = F.coalesce(F.col("b.c_time"), F.col("__target"))
-    run_seq = Seq(tuple(keys), ("position",))
+    run_seq = refine(seq, tuple(keys))
     placed, run_seq = prepare(placed.withColumn("__c", center), run_seq)
     mono = scan(placed, run_seq, {"__max": Agg("max", F.col("__c"), False)}, {"__min": Agg("min", F.col("__c"), False)})
     ordered = (F.coalesce(F.col("__max"), F.lit(-1)) < F.col("__c")) & (F.col("__min").isNull() | (F.col("__c") < F.col("__min")))
@@ -315,7 +315,7 @@ def align_by_silence(
     ))
     proposals = both.select("chapter_id", "__run", "position", "__s", "__e", "__conf", "__good")
     # Unreliable streaks: rows since the last reliable one in the same run.
-    proposals, run_seq2 = prepare(proposals, Seq(tuple(keys), ("position",)))
+    proposals, run_seq2 = prepare(proposals, refine(seq, tuple(keys)))
     streak = finish(scan(proposals, run_seq2, {"__lastgood": Agg("last", F.when(F.col("__good"), F.col("position"))),
                                               "__rank": Agg("sum", F.lit(1).cast("long")),
                                               "__goodrank": Agg("sum", F.col("__good").cast("long"))}))

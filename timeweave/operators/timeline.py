@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.text import join_cue_texts, spoken_units
 from timeweave.intervals import within_join
 from timeweave.functions.timecode import silence_edges
-from timeweave.ordered import CHAPTER, Agg, Seq, finish, number_rows, prepare, prev, scan
+from timeweave.ordered import CHAPTER, Agg, Seq, finish, number_rows, prepare, prev, refine, scan
 
 
 def timed(prefix: str = "") -> Column:
@@ -102,7 +102,7 @@ def fill_gaps(df: DataFrame, language: str = "auto", seq: Seq = CHAPTER) -> Data
     )
     capped = F.least(F.col("__hi") - (F.col("__rows") - F.col("__i")), target) - F.col("__i")
     joined = joined.withColumn("__m", F.greatest(F.col("__lo"), capped))
-    inner, inner_seq = prepare(joined, Seq(tuple(keys), seq.order, seq.by))
+    inner, inner_seq = prepare(joined, refine(seq, tuple(keys)))
     out = finish(scan(inner, inner_seq, {
         "__end": Agg("max", F.col("__m")), "__prior": Agg("max", F.col("__m"), False),
     }))

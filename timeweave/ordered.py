@@ -46,6 +46,7 @@ class Seq:
     by: str | None = None
     prepared: bool = False
     width: float | None = None
+    limit: int = SCAN_ROWS
 
     @property
     def by_expr(self) -> Column:
@@ -79,14 +80,30 @@ def measure(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> Seq:
     width = sizes.filter(F.col("n") > limit).agg(
         F.min(F.greatest(F.col("span"), F.lit(1.0)) * limit / F.col("n"))
     ).first()[0]
-    return replace(seq, prepared=True, width=None if width is None else float(max(width, 1e-9)))
+    return replace(seq, prepared=True, limit=limit, width=None if width is None else float(max(width, 1e-9)))
+
+
+def bounded(seq: Seq, sizes: DataFrame, upper: Column) -> Seq:
+    """Skip measuring when a cheap upper bound on every group's rows already fits.
+
+    ``sizes`` is a table that is cheaper to read than the rows themselves.
+    """
+    limit = block_rows(sizes, SCAN_ROWS)
+    most = sizes.agg(F.max(upper)).first()[0]
+    return replace(seq, prepared=True, limit=limit) if (most or 0) <= limit else seq
+
+
+def refine(seq: Seq, group: tuple[str, ...], order: tuple[str, ...] | None = None) -> Seq:
+    """The sequence of smaller groups inside measured ones: plain windows stay plain."""
+    plain = seq.prepared and seq.width is None
+    return Seq(group, order or seq.order, seq.by, prepared=plain, limit=seq.limit)
 
 
 def prepare(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> tuple[DataFrame, Seq]:
     """Plain windows or blocks; in block mode the rows are written once, with their block."""
-    if seq.prepared:
+    if seq.prepared and (seq.width is not None or seq.limit <= max(rows, block_rows(df, rows))):
         return place(df, seq), seq
-    seq = measure(df, seq, rows)
+    seq = measure(df, replace(seq, prepared=False), rows)
     return (df, seq) if seq.width is None else (cut_lineage(place(df, seq)), seq)
 
 
@@ -204,6 +221,8 @@ def fold(
     ``step(state, row) -> state`` and ``emit(before, row, after) -> struct`` build
     Catalyst expressions.  Output: the columns of ``row`` plus the emitted struct's.
     """
+    if seq.width is not None and seq.limit > block_rows(df, FOLD_ROWS):
+        df, seq = finish(df), replace(seq, prepared=False, width=None)
     df, seq = prepare(df, seq, FOLD_ROWS)
     payload = columns or [c for c in df.columns if c != BLOCK]
     rest = [c for c in payload if c not in seq.order and c not in seq.group]

@@ -394,12 +394,12 @@ n AS (SELECT *, greatest(s, end_ms) AS e FROM m)
 SELECT chapter_id, cue_no, cue_no || chr(10) || lpad((s // 3600000)::VARCHAR, 2, '0') || ':' || lpad((s // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((s // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((s % 1000)::VARCHAR, 3, '0') || ' --> ' ||
  lpad((e // 3600000)::VARCHAR, 2, '0') || ':' || lpad((e // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((e // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((e % 1000)::VARCHAR, 3, '0') || chr(10) || text || chr(10) AS line FROM n""")
 def subtitle_lines(spark, sf):
-    return sinks.subtitle_lines(r.page_cues(spark, sf))
+    return sinks.subtitle_lines(r.page_cues(spark, sf), seq=r.cue_seq(spark, sf))
 
 
 @query("overlapping_cues", r.with_sql(r.PAGE_CUES) + " SELECT chapter_id, position FROM (SELECT *, lead(start_ms) OVER (PARTITION BY chapter_id ORDER BY position) AS n FROM cue WHERE end_ms > start_ms) WHERE end_ms > n")
 def overlapping_cues(spark, sf):
-    return sinks.overlapping_cues(r.page_cues(spark, sf)).select("chapter_id", "position")
+    return sinks.overlapping_cues(r.page_cues(spark, sf), r.cue_seq(spark, sf)).select("chapter_id", "position")
 
 
 @query("project_documents", r.with_sql(r.TALK, LINKS) + """ SELECT c.chapter_id, count(*) AS n_segments, any_value(n) AS n_links, string_agg(c.position || ':' || round_even(c.confidence, 4)::VARCHAR, '|' ORDER BY c.position) AS line FROM cue c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM pa GROUP BY chapter_id) l ON l.chapter_id = c.chapter_id GROUP BY c.chapter_id""")
@@ -486,7 +486,6 @@ def pending_chunks(spark, sf):
 def ingested_chunks(spark, sf):
     """Chunks streamed into a table, the last version per key."""
     chunks = _stream(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.floor(F.col("o_orderkey") / 4).alias("position"), F.col("o_orderkey").alias("version"))
-    chunks = chunks.withColumn("run_group", F.lit(0))
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     jobs.ingest_chunks(chunks, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table").select(F.col("run_id").cast("long").alias("run_id"), "position", "version")
+    return spark.read.parquet(f"{root}/table").select("run_id", "position", "version")

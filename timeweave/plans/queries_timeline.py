@@ -33,7 +33,7 @@ def timed_cues(spark, sf):
 
 @query("cue_conflicts", PAGES + NEAR + f" SELECT chapter_id, position, {CONFLICT} AS conflict FROM near")
 def cue_conflicts(spark, sf):
-    return t.flag_conflicts(r.page_cues(spark, sf)).select("chapter_id", "position", "conflict")
+    return t.flag_conflicts(r.page_cues(spark, sf), r.cue_seq(spark, sf)).select("chapter_id", "position", "conflict")
 
 
 @query("review_classes", TALK + NEAR + f""" SELECT chapter_id, position, CASE WHEN {CONFLICT} THEN 'conflict' WHEN status = 'low_confidence' THEN 'low_confidence'
@@ -54,7 +54,7 @@ MONO = """ SELECT chapter_id, position, s AS start_ms, greatest(s, end_ms) AS en
 
 @query("monotonic_cues", PAGES + MONO)
 def monotonic_cues(spark, sf):
-    return t.enforce_monotonic(r.page_cues(spark, sf)).select("chapter_id", "position", "start_ms", "end_ms")
+    return t.enforce_monotonic(r.page_cues(spark, sf), r.cue_seq(spark, sf)).select("chapter_id", "position", "start_ms", "end_ms")
 
 
 @query("gap_fill", PAGES + f""",
@@ -71,7 +71,7 @@ y AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY chapter_id, run ORDER BY posi
 SELECT i.chapter_id, i.position, coalesce(y.s, i.start_ms) AS start_ms, coalesce(y.e, i.end_ms) AS end_ms, CASE WHEN y.e IS NULL THEN i.status ELSE 'manual' END AS status, y.e IS NOT NULL AS filled
 FROM i LEFT JOIN y ON y.chapter_id = i.chapter_id AND y.position = i.position""")
 def gap_fill(spark, sf):
-    return t.fill_gaps(r.page_cues(spark, sf)).select("chapter_id", "position", "start_ms", "end_ms", "status", "filled")
+    return t.fill_gaps(r.page_cues(spark, sf), seq=r.cue_seq(spark, sf)).select("chapter_id", "position", "start_ms", "end_ms", "status", "filled")
 
 
 def _distribute_sql(weight: str) -> str:
@@ -116,7 +116,7 @@ def dense_positions(spark, sf):
 @query("running_text_offsets", PAGES + """ SELECT chapter_id, position, (sum(length(text)) OVER w - length(text))::BIGINT AS start_char, (sum(length(text)) OVER w)::BIGINT AS end_char
  FROM cue WINDOW w AS (PARTITION BY chapter_id ORDER BY position)""")
 def running_text_offsets(spark, sf):
-    return t.text_offsets(r.page_cues(spark, sf)).select("chapter_id", "position", "start_char", "end_char")
+    return t.text_offsets(r.page_cues(spark, sf), r.cue_seq(spark, sf)).select("chapter_id", "position", "start_char", "end_char")
 
 
 @query("timing_anchors", TALK + """ SELECT * FROM (SELECT chapter_id, position, (sum(length(text)) OVER w - length(text))::BIGINT AS source_start_char, (sum(length(text)) OVER w)::BIGINT AS source_end_char,
@@ -128,7 +128,7 @@ def timing_anchors(spark, sf):
 @query("extended_ends", PAGES + """ SELECT chapter_id, position, start_ms, CASE WHEN ne > ns AND ns - end_ms BETWEEN 1 AND 500 THEN ns ELSE end_ms END AS end_ms
  FROM (SELECT *, lead(start_ms) OVER w AS ns, lead(end_ms) OVER w AS ne FROM cue WINDOW w AS (PARTITION BY chapter_id ORDER BY position)) WHERE end_ms > start_ms""")
 def extended_ends(spark, sf):
-    return t.extend_ends(r.page_cues(spark, sf), 500).select("chapter_id", "position", "start_ms", "end_ms")
+    return t.extend_ends(r.page_cues(spark, sf), 500, r.cue_seq(spark, sf)).select("chapter_id", "position", "start_ms", "end_ms")
 
 
 # One boundary edit per conversation: the end of its second turn moves far right.

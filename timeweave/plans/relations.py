@@ -13,7 +13,7 @@ from timeweave.functions.sentences import (
     ABBREVIATIONS, CLOSERS, CUT, KEEP, WORD_LIMIT, chapter_sentences,
 )
 from timeweave.functions.text import BLANKS, LETTER, let, match_units
-from timeweave.ordered import Seq, number_rows
+from timeweave.ordered import CHAPTER, Seq, bounded, number_rows
 from timeweave.sources.documents import explode_fragments, explode_segments, line_fragments
 
 
@@ -39,6 +39,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_segments(chapters(spark, sf_dir), line_fragments(F.col("text")))
 
 
+def cue_seq(spark: SparkSession, sf_dir: str) -> Seq:
+    """Cue order of the documents; a cue or unit takes two characters, so lengths bound the rows."""
+    return bounded(CHAPTER, table(spark, sf_dir, "documents"), F.length("text") / 2 + 1)
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical units ``(chapter_id, at, position, unit)``; dense ``at``, built inside the row."""
     per_cue = let(chapter_sentences(line_fragments(F.col("text"))), lambda cues: F.flatten(F.transform(

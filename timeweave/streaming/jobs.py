@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,30 +26,31 @@ def tumbling_extremes(samples: DataFrame, width: str = "1 hour", lateness: str =
         key, F.col("w.start").alias("bucket_start"), "min_v", "max_v", "n")
 
 
-def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, version: str = "version") -> StreamingQuery:
-    """Last write per (run, position) into a table partitioned by run.
+def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, version: str = "version", buckets: int = 16) -> StreamingQuery:
+    """Last write per (run, position) into a table partitioned by run bucket.
 
-    Every micro-batch merges with the stored rows of the runs it touches and writes the
-    result under its own batch folder before those runs are overwritten, so a replayed
+    Every micro-batch merges with the stored rows of the buckets it touches and writes the
+    result under its own batch folder before those buckets are overwritten, so a replayed
     batch gives the same table.
     """
     spark = chunks.sparkSession
+    keyed = chunks.withColumn("run_bucket", F.pmod(F.xxhash64("run_id", "position"), F.lit(buckets)).cast("int"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        runs = batch.select("run_id").distinct()
+        touched = batch.select("run_bucket").distinct()
         try:
             stored = spark.read.parquet(path).select(*batch.columns)
-        except Exception as error:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        except AnalysisException as error:  # no table before the first batch
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            stored = batch.limit(0)
-        merged = upsert_chunks(stored.join(runs, "run_id", "left_semi"), batch, version)
+            stored = batch.filter("false")
+        merged = upsert_chunks(stored.join(touched, "run_bucket", "left_semi"), batch, version)
         staged = f"{checkpoint}/staged/batch={batch_id}"
         merged.write.mode("overwrite").parquet(staged)
-        spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        spark.read.schema(merged.schema).parquet(staged).repartition("run_bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)
 
-    return chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return keyed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def replay_safe(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:

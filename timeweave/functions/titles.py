@@ -43,7 +43,7 @@ def chapter_number(title: Column) -> Column:
     suffix = F.when(F.regexp_extract(compact, "^(.*?)chapter", 0) != "", F.regexp_extract(
         F.regexp_replace(compact, "^.*?chapter", ""), f"^({words})", 1)).otherwise(F.lit(""))
     edge = r"[\p{L}\p{N}_]"
-    named = F.regexp_extract(visible, rf"(?i)(?<!{edge})(?:chapter|cap[ií]tulo|chapitre)\s*([0-9]+|[ivxlcdm]+)(?!{edge})", 1)
+    named = F.regexp_extract(visible, rf"(?iu)(?<!{edge})(?:chapter|cap[ií]tulo|chapitre)\s*([0-9]+|[ivxlcdm]+)(?!{edge})", 1)
     cjk = F.regexp_extract(visible, r"第\s*([0-9]+)\s*章", 1)
     leading = F.regexp_extract(visible, rf"(?i)^\s*([0-9]+|[ivxlcdm]+)(?:(?!{edge})|[._-])", 1)
     return (

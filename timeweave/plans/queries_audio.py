@@ -239,7 +239,7 @@ def _requests(spark, sf):
 
 
 @query("expanding_windows", REQ + """,
-h AS (SELECT *, least(limit_ms, start_ms + greatest(8000, least(90000, expected_ms * 3 + 4000))) AS hard, start_ms + expected_ms + 600 AS tg, start_ms + greatest(750, round_even(expected_ms * 0.55, 0)::BIGINT) AS mn FROM rq),
+h AS (SELECT *, least(limit_ms, start_ms + greatest(8000, least(90000, expected_ms * 3 + 4000))) AS hard, start_ms + expected_ms + 600 AS tg, start_ms + greatest(750, round_even(expected_ms * 0.55::DOUBLE, 0)::BIGINT) AS mn FROM rq),
 t AS (SELECT h.chapter_id, request_id, hard, list_sort(list_distinct(list(s.time_ms) FILTER (WHERE s.time_ms >= tg))) AS aft, max(s.time_ms) AS late FROM h LEFT JOIN sil s ON s.chapter_id = h.chapter_id AND s.time_ms BETWEEN mn AND hard GROUP BY ALL),
 k AS (SELECT *, CASE WHEN len(aft) > 0 THEN aft[1:4] WHEN late IS NOT NULL THEN [late] ELSE [] END AS sel FROM t)
 SELECT chapter_id, request_id, array_to_string((CASE WHEN len(sel) = 0 OR hard - sel[-1] >= 500 THEN list_append(sel, hard) ELSE sel END)[1:4], ',') AS ends FROM k""")
@@ -249,9 +249,9 @@ def expanding_windows(spark, sf):
 
 @query("block_windows", REQ + """,
 a AS (SELECT *, least(90000, greatest(4000, expected_ms)) AS x, least(limit_ms, start_ms + 90000) AS late FROM rq),
-b AS (SELECT *, least(late, start_ms + greatest(2000, round_even(x * 0.55, 0)::BIGINT)) AS early, least(limit_ms, start_ms + x) AS tg FROM a),
+b AS (SELECT *, least(late, start_ms + greatest(2000, round_even(x * 0.55::DOUBLE, 0)::BIGINT)) AS early, least(limit_ms, start_ms + x) AS tg FROM a),
 c AS (SELECT b.*, (SELECT list_sort(list(abs(s.end_ms - tg) * 1000000000 + s.end_ms))[1:3] FROM sil s WHERE s.chapter_id = b.chapter_id AND (s.end_ms - s.start_ms >= 500 OR s.score >= 0.78) AND s.end_ms BETWEEN early AND late) AS near FROM b),
-d AS (SELECT *, list_transform(coalesce(near, []), lambda v: v % 1000000000 * 2) AS st, least(late, greatest(early, start_ms + round_even(x * 1.35, 0)::BIGINT)) * 2 + 1 AS wide, least(late, greatest(early, tg)) * 2 + 1 AS mid FROM c),
+d AS (SELECT *, list_transform(coalesce(near, []), lambda v: v % 1000000000 * 2) AS st, least(late, greatest(early, start_ms + round_even(x * 1.35::DOUBLE, 0)::BIGINT)) * 2 + 1 AS wide, least(late, greatest(early, tg)) * 2 + 1 AS mid FROM c),
 e AS (SELECT *, list_concat(list_concat(list_concat(st[1:1], [wide]), st[2:3]), [mid, late * 2 + 1]) AS plan FROM d),
 k AS (SELECT chapter_id, request_id, list_reduce(list_transform(plan, lambda v: [v]), lambda acc, v: CASE WHEN v[1] // 2 <= start_ms OR len(list_filter(acc, lambda y: abs(y // 2 - v[1] // 2) < 250)) > 0 THEN acc ELSE list_concat(acc, v) END, []::BIGINT[])[1:5] AS ends FROM e)
 SELECT chapter_id, request_id, array_to_string(list_transform(ends, lambda y: (y // 2)::VARCHAR || CASE WHEN y % 2 = 1 THEN 'w' ELSE 's' END), ',') AS ends FROM k""")

@@ -60,7 +60,7 @@ def decode_text(content: Column) -> Column:
 
 def declared_charset(content: Column) -> Column:
     """Charset named in the first 4096 bytes, Latin-1 aliases as cp1252 (A2)."""
-    head = F.decode(F.substring(content, 1, 4096), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
     name = F.lower(F.regexp_extract(head, r"(?i)(?:charset\s*=\s*['\"]?\s*|encoding\s*=\s*['\"])([a-zA-Z0-9._-]+)", 1))
     return F.when(name.isin("iso-8859-1", "iso8859-1", "latin-1", "latin1"), F.lit("cp1252")).otherwise(F.nullif(name, F.lit("")))
 

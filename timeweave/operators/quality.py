@@ -9,7 +9,7 @@ from timeweave.functions.text import CJK_LANGUAGES, spoken_units
 from timeweave.functions.timecode import clamp01
 from timeweave.intervals import within_join
 from timeweave.operators.timeline import timed
-from timeweave.ordered import CHAPTER, Seq, finish, fold, prepare, prev, scan
+from timeweave.ordered import CHAPTER, Agg, Seq, finish, fold, prepare, prev, scan
 
 
 def usable_coverage(segments: DataFrame, minimum: float = 0.70, maximum_suffix: int = 2, group: str = "chapter_id") -> DataFrame:
@@ -133,11 +133,7 @@ def overlap_agreement(block_rows: DataFrame, shared_rows: int = 2) -> DataFrame:
     before = block_rows.select("chapter_id", (F.col("block_no") + 1).alias("block_no"), "position",
                                F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
     both = block_rows.select(*keys, "start_ms", "end_ms").join(before, keys)
-    tail = both.groupBy("chapter_id", "block_no").agg(F.max("position").alias("last"))
-    # The n-th last shared position: blocks share consecutive rows, so few rows lie above it.
     rows, seq = prepare(both, Seq(("chapter_id", "block_no"), ("position",)))
-    from timeweave.ordered import Agg
-
     rows = finish(scan(rows, seq, None, {"__from_end": Agg("sum", F.lit(1).cast("long"))})).filter(
         F.col("__from_end") <= max(1, shared_rows))
     tolerance = F.greatest(F.lit(250), F.bround(F.greatest(F.col("pe") - F.col("ps"), F.col("end_ms") - F.col("start_ms")) * 0.05))
@@ -146,7 +142,7 @@ def overlap_agreement(block_rows: DataFrame, shared_rows: int = 2) -> DataFrame:
     scored = rows.withColumn("__miss", both_timed & (error > tolerance)).withColumn(
         "__score", F.when(both_timed, F.greatest(F.lit(0.0), 1 - error / tolerance)))
     return scored.groupBy("chapter_id", "block_no").agg(F.when(F.max("__miss"), 0.0).otherwise(
-        F.coalesce(F.avg("__score"), F.lit(0.0))).alias("agreement")).join(tail.drop("last"), ["chapter_id", "block_no"])
+        F.coalesce(F.avg("__score"), F.lit(0.0))).alias("agreement"))
 
 
 def hypothesis_priority(score: Column, coverage: Column, span: Column, stable: float = 0.72) -> Column:

@@ -1,6 +1,6 @@
 """Importing this module registers every query of the folder."""
 
-from timeweave.llm import language_id, sentence_pieces  # noqa: F401
+from timeweave.llm import language_id, secrets, sentence_pieces  # noqa: F401
 from timeweave.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.components import components
+from timeweave.llm.filters import IdFilter
 from timeweave.llm.registry import query
 from timeweave.llm.runs import runs
 from timeweave.llm.tables import cut_lineage, read, spread
@@ -196,7 +197,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")))
     loose = cut_lineage(components(candidate_links(classes)))
     groups = loose.join(loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.lower("text").alias("text")).join(
+    # Only texts that have a candidate partner are shuffled.
+    asked = IdFilter(loose, "id").rows(docs, "doc_id", inside=True)
+    texts = asked.select(F.col("doc_id").alias("rep"), F.lower("text").alias("text")).join(
         groups.select(F.col("id").alias("rep"), F.col("component").alias("group"), "size"), "rep")
     checked = cut_lineage(verified(texts))
     counts = checked.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("n_links"))

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeweave.llm.filters import IdFilter
 from timeweave.llm.registry import query
 from timeweave.llm.runs import runs
 from timeweave.llm.tables import cut_lineage, read, spread
@@ -222,8 +223,8 @@ def shared_stretches(docs: DataFrame) -> DataFrame:
     """(doc_id, place, m, words): the words of every stretch whose minimiser occurs more than once."""
     found = cut_lineage(minimisers(docs))
     often = found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m")
-    places = found.join(often, "m").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    marked = docs.select("doc_id", "text").join(places, "doc_id")
+    places = cut_lineage(found.join(often, "m").groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    marked = IdFilter(places, "doc_id").rows(docs.select("doc_id", "text"), "doc_id", inside=True).join(places, "doc_id")
 
     def cut(batches):
         for batch in slices(batches):
@@ -323,7 +324,10 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.col(text).alias("text"))
     # A stretch's places are near each other; a document's are kept as one list.
     places = cut_lineage(repeated_places(docs).groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    marked = docs.join(places, "doc_id", "left")
+    # Texts that lose nothing are not shuffled.
+    changed = IdFilter(places, "doc_id")
+    marked = changed.rows(docs, "doc_id", inside=True).join(places, "doc_id", "left").select("doc_id", "text", "places").unionByName(
+        changed.rows(docs, "doc_id", inside=False).withColumn("places", F.lit(None).cast("array<int>")))
 
     def strip(batches):
         for batch in slices(batches):

@@ -266,7 +266,7 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, crowded):
         texts.append(prose(rng, rng.randrange(60)) + " " + passage + "\n" + prose(rng, rng.randrange(60)))
     texts += [other + "\t" + other, prose(rng, 200, 2), prose(rng, 200, 2), "é\u00a0ü " * 80]
     texts += [texts[12], texts[12], prose(rng, 30000)]
-    done = substring_dedup.remove_repeats(documents(spark, texts).withColumnsRenamed({"source": "places", "lang": "words"})).collect()
+    done = substring_dedup.remove_repeats(documents(spark, texts).withColumnsRenamed({"source": "ranges", "lang": "words"})).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in done) == removed(texts, 35)
 
 

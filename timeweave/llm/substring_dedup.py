@@ -8,17 +8,18 @@ repeated window covers is removed.
    equals).  Windows with the same words have the same one, and neighbouring windows mostly share
    theirs, so a document falls into stretches of windows with one minimiser each.  Minimisers that
    occur once are counted out.
-2. Stretches of the others are grouped by minimiser into shards; equal stretches are one row with a
-   count, so a passage in a third of all documents is one row.  Stretches under a minimiser with
-   more than ``CROWDED`` different ones (one passage in ever other surroundings) are cut into single
-   windows, which spread over ``SPREAD`` shards each by a hash of their words and are counted again.
+2. Stretches of the others are known by the hash of their words; equal ones are one row with a count
+   and one place to read the words at, so a passage in a third of all documents is one row.  Only
+   that place's text is read again.  Stretches meet in shards by minimiser.  Where a minimiser has
+   more than ``CROWDED`` different stretches (one passage in ever other surroundings) they are cut into
+   single windows, which spread over ``SPREAD`` shards by a hash of their words and are counted again.
 3. A shard's stretches, at most about ``SHARD_WORDS`` words at a time, become an FM-index: the
    Burrows-Wheeler transform of the words in a wavelet tree of bit vectors with rank counts, and the
    lengths of common prefixes.  All stretches are streamed against it from their last word to
    their first: backward search lengthens the match by one word, and where fewer than two
    occurrences are left the match is cut to its parent interval.  This gives matching statistics;
    a window is repeated where they reach ``WINDOW``.
-4. Repeated windows go back to their documents.
+4. Repeated windows go back to their stretches' documents as ranges.
 
 Nothing is capped.  Words are told apart by 64-bit hashes.  Defined results: a null text has no
 words; ids are taken to be unique, rows that repeat an id count as further occurrences and share
@@ -36,12 +37,12 @@ from timeweave.llm.filters import IdFilter
 from timeweave.llm.registry import query
 from timeweave.llm.runs import runs
 from timeweave.llm.tables import cut_lineage, read, spread
-from timeweave.llm.words import gram_hashes, raw, slices, word_hashes, word_spans
+from timeweave.llm.words import STEP, gram_hashes, inverse, mix, powers, raw, slices, word_hashes, word_spans
 
 WINDOW = 35
-GRAM = 12
+GRAM = 8
 PLACE = (1 << 32) - 1
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
 CROWDED = 4_096
 SPREAD = 64
 
@@ -205,141 +206,165 @@ def repeated_windows(words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> n
     return index.repeated(text, at[:-1] + np.arange(len(sizes)), sizes)[keep]
 
 
-def minimisers(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, m): the first word of each stretch and its minimiser."""
+def sequence_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence of ``size`` words from ``first`` on."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(STEP, len(words)), out=sums[1:])
+    back = powers(inverse(STEP), len(words) + 1)
+    return mix((sums[first + size] - sums[first]) * back[first] + size.astype(np.uint64))
+
+
+def minimisers(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Of each stretch some of doc_id, place (its first word), m (its minimiser) and id (hash of its words)."""
+    kinds = {"doc_id": "long", "place": "int", "m": "long", "id": "long"}
+
     def find(batches):
         for batch in slices(batches):
             data, offsets = raw(batch.column("text"))
             start, end, at = word_spans(data, offsets)
-            text, first, _, m = stretches(word_hashes(data, start, end), at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(text)), pa.array((first - at[text]).astype(np.int32)), pa.array(m.view(np.int64))],
-                names=["doc_id", "place", "m"])
+            words = word_hashes(data, start, end)
+            text, first, n, m = stretches(words, at)
+            made = {"m": pa.array(m.view(np.int64))}
+            if "id" in columns:
+                made |= {"doc_id": batch.column("doc_id").take(pa.array(text)), "place": pa.array((first - at[text]).astype(np.int32)),
+                         "id": pa.array(sequence_hashes(words, first, n + WINDOW - 1).view(np.int64))}
+            yield pa.RecordBatch.from_arrays([made[c] for c in columns], names=list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, place int, m long")
+    return docs.select("doc_id", "text").mapInArrow(find, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def shared_stretches(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, m, words): the words of every stretch whose minimiser occurs more than once."""
-    found = cut_lineage(minimisers(docs))
-    often = found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m")
-    places = cut_lineage(found.join(often, "m").groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    """(doc_id, place, m, id) of every stretch whose minimiser occurs more than once."""
+    often = minimisers(docs, ("m",)).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m")
+    return minimisers(docs, ("doc_id", "place", "m", "id")).join(often, "m")
+
+
+def read_words(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
+    """The words of the ``wanted`` (doc_id, place, m, id, n) stretches, or of each of their windows.
+
+    Whole stretches: (m, id, part, words, n).  Windows: (m, id, i, window, part, words, n), ``i`` the place
+    in the stretch and ``window`` the hash of the words, by which they are dealt to parts.
+    """
+    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "m", "id", "n")).alias("wanted"))
+    places = cut_lineage(places)
     marked = IdFilter(places, "doc_id").rows(docs.select("doc_id", "text"), "doc_id", inside=True).join(places, "doc_id")
 
     def cut(batches):
         for batch in slices(batches):
             data, offsets = raw(batch.column("text"))
             start, end, at = word_spans(data, offsets)
-            text, first, n, m = stretches(word_hashes(data, start, end), at)
-            place = first - at[text]
-            wanted = batch.column("places").combine_chunks() if isinstance(batch.column("places"), pa.ChunkedArray) else batch.column("places")
-            of = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
-            keys = (of.astype(np.int64) << 32) | wanted.flatten().to_numpy()
-            keep = np.flatnonzero(np.isin((text << 32) | place, keys))
-            text, first, n, m, place = text[keep], first[keep], n[keep], m[keep], place[keep]
-            # Bytes from the first word to the last one, white space made single spaces where it isn't.
-            bytes_ = data.tobytes()
-            a, b = start[first].tolist(), end[first + n + WINDOW - 2].tolist()
-            words = [b" ".join(bytes_[x:y].split()).decode() for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(words, pa.string())],
-                names=["doc_id", "place", "m", "words"])
-
-    return marked.mapInArrow(cut, "doc_id long, place int, m long, words string")
-
-
-def single_windows(crowded: DataFrame) -> DataFrame:
-    """(m, part, words, n) of every window of (m, words, n) stretches, dealt by a hash of its words."""
-    def cut(batches):
-        for batch in slices(batches, "words"):
-            m, n = batch.column("m").to_pylist(), batch.column("n").to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for own, count, words in zip(m, n, batch.column("words").to_pylist()):
-                parts = words.split(" ")
-                for i in range(len(parts) - WINDOW + 1):
-                    out[0].append(own), out[1].append(" ".join(parts[i:i + WINDOW])), out[2].append(count)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["m", "words", "n"])
-
-    windows = crowded.select("m", "words", "n").mapInArrow(cut, "m long, words string, n long")
-    return windows.groupBy("m", "words").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("words"), F.lit(SPREAD)).cast("int"))
+            words = word_hashes(data, start, end)
+            text, first, size, m = stretches(words, at)
+            ids = sequence_hashes(words, first, size + WINDOW - 1).view(np.int64)
+            column = batch.column("wanted")
+            asked = column.flatten()
+            of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            key = (of << 32) | asked.field("place").to_numpy()
+            order = np.argsort(key)
+            mine = (text << 32) | (first - at[text])
+            slot = np.minimum(np.searchsorted(key[order], mine), max(len(key) - 1, 0))
+            keep = np.flatnonzero(key[order][slot] == mine) if len(key) else np.zeros(0, np.int64)
+            row = order[slot[keep]]
+            # A text that repeats an id has other words there; only the stretch asked for counts.
+            same = asked.field("id").to_numpy()[row] == ids[keep]
+            keep, row = keep[same], row[same]
+            first, size, m, ids = first[keep], size[keep], m[keep].view(np.int64), ids[keep]
+            n = asked.field("n").to_numpy()[row]
+            content = data.tobytes()
+            if not single:
+                spans = zip(start[first].tolist(), end[first + size + WINDOW - 2].tolist())
+                texts = [b" ".join(content[a:b].split()).decode() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array(np.zeros(len(m), np.int32)), pa.array(texts, pa.string()), pa.array(n)], names=["m", "id", "part", "words", "n"])
+                continue
+            i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            begin = np.repeat(first, size) + i
+            window = sequence_hashes(words, begin, np.full(len(begin), WINDOW)).view(np.int64)
+            part = (window.view(np.uint64) % np.uint64(SPREAD)).astype(np.int32)
+            for a in range(0, len(begin), 20_000):
+                z = slice(a, a + 20_000)
+                texts = [b" ".join(content[x:y].split()).decode() for x, y in zip(start[begin[z]].tolist(), end[begin[z] + WINDOW - 1].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(m, size)[z]), pa.array(np.repeat(ids, size)[z]), pa.array(i[z].astype(np.int32)), pa.array(window[z]), pa.array(part[z]), pa.array(texts, pa.string()), pa.array(np.repeat(n, size)[z])],
+                    names=["m", "id", "i", "window", "part", "words", "n"])
+
+    return marked.select("text", "wanted").mapInArrow(
+        cut, "m long, id long, i int, window long, part int, words string, n long" if single else "m long, id long, part int, words string, n long")
 
 
 def matching(shards: DataFrame) -> DataFrame:
-    """(m, words, starts) of (m, part, words, n): where repeated windows begin, if anywhere."""
+    """(m, id, ranges) of (m, id, part, words, n): from where to where repeated windows begin, if anywhere."""
     def search(batches):
-        held: list[pa.Table] = []
         for table, at in runs(batches, ["m", "part"]):
             counts = table.column("n").to_numpy()
-            data, offsets = raw(table.column("words").combine_chunks())
+            data, offsets = raw(table.column("words"))
             start, end, word_at = word_spans(data, offsets)
             hashes = word_hashes(data, start, end)
             # Whole runs of one key, so many that an index has about SHARD_WORDS words.
             a = 0
             while a < len(at) - 1:
                 b = max(a + 1, int(np.searchsorted(word_at[at], word_at[at[a]] + SHARD_WORDS, "right")) - 1)
-                rows = slice(at[a], at[b])
                 own_at = word_at[at[a]:at[b] + 1]
-                hit = repeated_windows(hashes[own_at[0]:own_at[-1]], own_at - own_at[0], counts[rows])
-                row = np.repeat(np.arange(at[b] - at[a]), np.diff(own_at))[hit]
-                place = (np.arange(len(hit)) - np.repeat(own_at[:-1] - own_at[0], np.diff(own_at)))[hit]
+                hit = repeated_windows(hashes[own_at[0]:own_at[-1]], own_at - own_at[0], counts[at[a]:at[b]])
+                # The last windows of a stretch end it, so no range crosses stretches.
+                edges = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+                low, high = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+                row = np.searchsorted(own_at - own_at[0], low, "right") - 1
+                base = (own_at - own_at[0])[row]
                 some, first = np.unique(row, return_index=True)
                 if len(some):
-                    held = table.take(pa.array(some + at[a])).select(["m", "words"])
-                    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([held.column("m").combine_chunks(), held.column("words").combine_chunks(), starts], names=["m", "words", "starts"])
+                    ranges = np.column_stack([low - base, high - base]).reshape(-1).astype(np.int32)
+                    names = table.take(pa.array(some + at[a])).select(["m", "id"]).combine_chunks()
+                    yield pa.RecordBatch.from_arrays(
+                        [names.column("m").combine_chunks(), names.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(row)).astype(np.int32)), pa.array(ranges))],
+                        names=["m", "id", "ranges"])
                 a = b
 
-    dealt = shards.select("m", "part", "words", "n").repartition(spread(shards), "m", "part").sortWithinPartitions("m", "part")
-    return dealt.mapInArrow(search, "m long, words string, starts array<int>")
+    dealt = shards.select("m", "id", "part", "words", "n").repartition(spread(shards), "m", "part").sortWithinPartitions("m", "part")
+    return dealt.mapInArrow(search, "m long, id long, ranges array<int>")
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, place): the first word of every repeated window."""
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, ranges): from where to where repeated windows begin in each document that has any."""
     occurrences = cut_lineage(shared_stretches(docs))
-    distinct = cut_lineage(occurrences.groupBy("m", "words").agg(F.count(F.lit(1)).alias("n")))
-    crowds = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > CROWDED).select("m")
-    plain = distinct.join(crowds, "m", "left_anti").withColumn("part", F.lit(0))
-    crowded = distinct.join(crowds, "m", "left_semi")
-    # A crowded window's stretches ask for it by its words.
-    hits = matching(plain.unionByName(single_windows(crowded).select("m", "words", "n", "part")))
-    hits = cut_lineage(hits.withColumn("id", F.xxhash64("m", "words")))
-
-    def windows(batches):
-        for batch in slices(batches, "words"):
-            ids, places, m, words = [], [], [], []
-            for doc_id, place, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "m", "words"))):
-                parts = text.split(" ")
-                for i in range(len(parts) - WINDOW + 1):
-                    ids.append(doc_id), places.append(place + i), m.append(own), words.append(" ".join(parts[i:i + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(m, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "place", "m", "words"])
-
-    single = occurrences.join(crowds, "m", "left_semi").select("doc_id", "place", "m", "words").mapInArrow(windows, "doc_id long, place int, m long, words string")
-    asked = occurrences.join(crowds, "m", "left_anti").select("doc_id", "place", "m", "words").unionByName(single)
-    keyed = asked.select("doc_id", "place", F.xxhash64("m", "words").alias("id"))
-    return keyed.join(hits.select("id", "starts"), "id").select("doc_id", F.explode(F.transform("starts", lambda x: x + F.col("place"))).alias("place"))
+    distinct = cut_lineage(
+        occurrences.groupBy("m", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("at"))
+        .select("m", "id", "n", "at.doc_id", "at.place"))
+    crowds = cut_lineage(distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > CROWDED).select("m"))
+    if crowds.isEmpty():
+        hits = matching(read_words(docs, distinct, single=False))
+    else:
+        whole = matching(read_words(docs, distinct.join(crowds, "m", "left_anti"), single=False))
+        windows = cut_lineage(read_words(docs, distinct.join(crowds, "m", "left_semi"), single=True))
+        counted = windows.groupBy("m", F.col("window").alias("id"), "part").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+        found = matching(counted).select("m", F.col("id").alias("window"))
+        begin = F.sort_array(F.collect_set("i"))
+        hits = whole.unionByName(
+            windows.join(found, ["m", "window"]).groupBy("m", "id").agg(F.flatten(F.transform(begin, lambda i: F.array(i, i + 1))).alias("ranges")))
+    located = occurrences.join(hits, ["m", "id"]).select("doc_id", F.transform("ranges", lambda x: x + F.col("place")).alias("ranges"))
+    return located.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document without the words of repeated windows."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    # A stretch's places are near each other; a document's are kept as one list.
-    places = cut_lineage(repeated_places(docs).groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    places = cut_lineage(repeated_ranges(docs))
     # Texts that lose nothing are not shuffled.
     changed = IdFilter(places, "doc_id")
-    marked = changed.rows(docs, "doc_id", inside=True).join(places, "doc_id", "left").select("doc_id", "text", "places").unionByName(
-        changed.rows(docs, "doc_id", inside=False).withColumn("places", F.lit(None).cast("array<int>")))
+    marked = changed.rows(docs, "doc_id", inside=True).join(places, "doc_id", "left").select("doc_id", "text", "ranges").unionByName(
+        changed.rows(docs, "doc_id", inside=False).withColumn("ranges", F.lit(None).cast("array<int>")))
 
     def strip(batches):
         for batch in slices(batches):
             data, offsets = raw(batch.column("text"))
             start, end, at = word_spans(data, offsets)
             gone = np.zeros(len(start) + 1, np.int32)
-            for row, own in enumerate(batch.column("places")):
+            for row, own in enumerate(batch.column("ranges")):
                 if own.is_valid:
-                    first = at[row] + np.unique(own.values.to_numpy())
-                    first = first[first + WINDOW <= at[row + 1]]
-                    gone[first] += 1
-                    np.subtract.at(gone, first + WINDOW, 1)
+                    low, high = own.values.to_numpy().reshape(-1, 2).T
+                    # Windows from low to before high cover these words.
+                    last = np.minimum(at[row] + high + WINDOW - 1, at[row + 1])
+                    np.add.at(gone, np.minimum(at[row] + low, last), 1)
+                    np.subtract.at(gone, last, 1)
             removed = np.cumsum(gone[:-1]) > 0
             bytes_ = data.tobytes()
             kept, n_removed = [], []
@@ -355,7 +380,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 [batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked.select("doc_id", "text", "places").mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string")
+    return marked.select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string")
 
 
 SQL = r"""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeweave.llm import decontamination, language_id, near_duplicates, secrets, sentence_pieces
+from timeweave.llm.filters import IdFilter
 from timeweave.llm.tables import cut_lineage, read
 
 
@@ -26,18 +27,24 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the least id stays; of repeated ids one row."""
-    groups = near_duplicates.near_duplicates(docs).select(F.col("doc_id").alias("__of"), F.col("class_id").alias("__class"))
-    groups = groups.filter(F.col("__of").isNotNull()).groupBy("__of").agg(F.min("__class").alias("__class"))
-    joined = docs.join(groups, F.col("doc_id") == F.col("__of"), "left")
+    groups = cut_lineage(near_duplicates.near_duplicates(docs).select(F.col("doc_id").alias("__of"), F.col("class_id").alias("__class")))
+    groups = groups.filter(F.col("__of").isNotNull()).groupBy("__of").agg(F.min("__class").alias("__class"), F.count(F.lit(1)).alias("__rows"))
+    # Only these have to meet their group; all others stay where they are.
+    judged = cut_lineage(groups.filter((F.col("__class") != F.col("__of")) | (F.col("__rows") > 1)))
+    asked = IdFilter(judged, "__of")
+    joined = asked.rows(docs, "doc_id", inside=True).join(judged, F.col("doc_id") == F.col("__of"), "left")
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = joined.filter(F.col("doc_id").isNull() | (F.col("__class") == F.col("doc_id"))).withColumn("__n", F.row_number().over(same))
-    return kept.filter(F.col("doc_id").isNull() | (F.col("__n") == 1)).select(*docs.columns)
+    kept = joined.filter(F.coalesce(F.col("__class") == F.col("doc_id"), F.lit(True))).withColumn("__n", F.row_number().over(same))
+    kept = kept.filter(F.col("doc_id").isNull() | (F.col("__n") == 1)).select(*docs.columns)
+    return kept.unionByName(asked.rows(docs, "doc_id", inside=False))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = cut_lineage(decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    asked = IdFilter(found, "doc_id")
+    kept = asked.rows(docs, "doc_id", inside=True).join(found, "doc_id", "left_anti").select(*docs.columns)
+    return kept.unionByName(asked.rows(docs, "doc_id", inside=False))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ Words are lower-cased runs of letters and digits, hashed to ``TERMS`` terms.
    a random matrix, the sketch is made orthonormal through its Gram matrix, and the rows are summed
    into term vectors (twice, with one power step).  Only matrices of the size of a block are on the
    driver.  The rank grows until every item keeps ``KEPT`` of its length.
-3. Every document is read in steps of ``STRIDE`` words; a window of ``WINDOW`` words is projected, and
-   items with cosine ``COSINE`` or more are candidates (cosines against the window's full length, so
-   that a window with one word of the benchmark doesn't look like it).
+3. Every document is read in steps of ``STRIDE`` words.  A window of ``WINDOW`` words is projected if the
+   terms of the block's items have enough of its weight to reach the cosine at all (half of what
+   they would need, as repeated words weigh more than they are counted).  Items with cosine ``COSINE``
+   or more are candidates (cosines against the window's full length, so that a window with one
+   word of the benchmark doesn't look like it).
 4. For each candidate the words around its windows are compared with the item: the longest common
    subsequence, each word weighted by its inverse document frequency.  A document holds an item if
    the subsequence has ``SAME`` of the item's weight, or ``PARAPHRASE`` of it while the answer, the
@@ -39,6 +41,7 @@ BLOCK_ITEMS = 256
 KEPT = 0.95
 STRIDE = 8
 WINDOW = 24
+PROJECTED = 2_000
 COSINE = 0.4
 SAME = 0.8
 PARAPHRASE = 0.55
@@ -207,23 +210,28 @@ def _block(spark: SparkSession, docs: DataFrame, items: DataFrame, idf: np.ndarr
             step_at = np.concatenate([[0], np.cumsum(steps)])
             start = np.repeat(at[full], steps) + STRIDE * (np.arange(step_at[-1]) - np.repeat(step_at[:-1], steps))
             of = np.repeat(full, steps)
-            span = WINDOW // STRIDE
-            vector = np.add.reduceat(weighted[place[term]], start)
-            length = np.add.reduceat(idf[term] ** 2, start)
-            for ahead in range(1, span):
-                if ahead == 1:
-                    one, one_length = vector.copy(), length.copy()
+            weight = idf[term].astype(np.float64) ** 2
+            known = place[term] < len(weighted) - 1
+            all_weight, known_weight = np.add.reduceat(weight, start), np.add.reduceat(weight * known, start)
+            one, one_known = all_weight.copy(), known_weight.copy()
+            for ahead in range(1, WINDOW // STRIDE):
                 same = of[ahead:] == of[:-ahead]
-                vector[:-ahead][same] += one[ahead:][same]
-                length[:-ahead][same] += one_length[ahead:][same]
-            length = np.sqrt(length)
-            able = np.flatnonzero(np.linalg.norm(vector, axis=1) >= COSINE * length)
-            cosine = (vector[able] @ latent.T) / length[able, None]
-            hit, item = np.nonzero(cosine >= COSINE)
+                all_weight[:-ahead][same] += one[ahead:][same]
+                known_weight[:-ahead][same] += one_known[ahead:][same]
+            able = np.flatnonzero(known_weight >= COSINE ** 2 / 2 * all_weight)
+            hit, item, score = [], [], []
+            for a in range(0, len(able), PROJECTED):
+                part = able[a:a + PROJECTED]
+                at_word = start[part][:, None] + np.arange(WINDOW)
+                inside = at_word < at[of[part] + 1][:, None]
+                rows = np.where(inside, place[term[np.minimum(at_word, len(term) - 1)]], len(weighted) - 1)
+                cosine = (weighted[rows].sum(axis=1) @ latent.T) / np.sqrt(all_weight[part])[:, None]
+                x, y = np.nonzero(cosine >= COSINE)
+                hit.append(a + x), item.append(y), score.append(cosine[x, y])
+            hit, item, score = (np.concatenate(x) for x in (hit, item, score)) if hit else (np.zeros(0, np.int64),) * 3
             if not len(hit):
                 continue
             step = able[hit]
-            score = cosine[hit, item]
             order = np.lexsort((step, item, of[step]))
             step, item, score = step[order], item[order], score[order]
             # Windows of one text and item whose words are near each other are one region.

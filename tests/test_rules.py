@@ -296,3 +296,75 @@ def test_page_matching(spark):
 def test_transcript_numbers(spark):
     toks = spark.createDataFrame([(1, 5, "a"), (1, 9, "b")], "chapter_id long, token_pos long, text string")
     assert [r["at"] for r in transcript_of(toks).orderBy("token_pos").collect()] == [0, 1]
+
+
+def test_a_moved_phrase_costs_only_itself(spark):
+    words = [f"word{i:03d}" for i in range(200)]
+    heard = words[-3:] + words[:-3]
+    frames = [spark.createDataFrame([(1, i, w) for i, w in enumerate(x)], "chapter_id long, at long, unit string") for x in (words, heard)]
+    pairs = sorted((r.a, r.b) for r in matching.monotone_match(*frames).collect())
+    assert pairs == [(i, i + 3) for i in range(197)]
+
+
+def test_chinese_is_matched_by_character(spark):
+    cues = spark.createDataFrame([(1, 0, "你好世界。", 0, 0, 0.0, "unmatched", False), (1, 1, "这是测试。", 0, 0, 0.0, "unmatched", False)],
+                                 "chapter_id long, position long, text string, start_ms long, end_ms long, confidence double, status string, locked boolean")
+    toks = spark.createDataFrame([(1, 0, "你好", 100, 500, 0.95), (1, 1, "世界", 520, 900, 0.95), (1, 2, "这是", 1200, 1500, 0.9), (1, 3, "测试", 1520, 1900, 0.9)],
+                                 "chapter_id long, token_pos long, text string, start_ms long, end_ms long, probability double")
+    for language in ("auto", "zh-CN"):
+        mode = matching.character_chapters(cues, language)
+        units = matching.source_units(cues.join(mode, "chapter_id"), by_character=F.col("by_character"))
+        heard = matching.transcript_units(toks.join(mode, "chapter_id"), by_character=F.col("by_character"))
+        pairs = matching.monotone_match(units.select("chapter_id", "at", "unit"), heard.select("chapter_id", "at", "unit"))
+        rows = matching.align_segments(cues, units, heard, toks, pairs).orderBy("position").collect()
+        assert [(r.start_ms, r.end_ms) for r in rows] == [(100, 900), (1200, 1900)]
+        assert rows[0].status != "unmatched"
+    english = matching.character_chapters(cues.withColumn("text", F.lit("plain words")))
+    assert not english.first().by_character
+
+
+def test_a_pause_is_looked_for_within_the_rows_own_reach(spark):
+    schema = "chapter_id long, position long, text string, start_ms long, end_ms long, confidence double, status string, locked boolean"
+    cues = spark.createDataFrame([(1, 0, "one two three four", 0, 0, 0.0, "unmatched", False), (1, 1, "one two three four", 0, 0, 0.0, "unmatched", False)], schema)
+    for at in (135_000, 145_000, 265_000):
+        pauses = spark.createDataFrame([(1, at, 0.9, at - 200, at + 200)], "chapter_id long, time_ms long, score double, start_ms long, end_ms long")
+        reach = spark.createDataFrame([(1, 0, 400_000)], "chapter_id long, from_ms long, to_ms long")
+        rows = silence.align_by_silence(cues, pauses, reach).orderBy("position").collect()
+        assert abs(rows[0].end_ms - at) <= 1_000 and abs(rows[1].start_ms - at) <= 1_000
+
+
+def test_references_of_all_kinds(spark):
+    rows = spark.createDataFrame([("caf&#233; &#8217; &uuml; &#x1F600; &nosuch; &amp;lt; &#0; &NotEqualTilde;",)], "t string")
+    assert rows.select(text.unescape(F.col("t")).alias("t")).first().t == "café ’ ü 😀 &nosuch; &lt; \ufffd ≂̸"
+
+
+def test_file_names_keep_long_numbers_and_books_apart(spark):
+    rows = spark.createDataFrame([(1, 99, "a"), (2, 999, "a"), (3, 0, "a")], "chapter_id long, position long, title string")
+    assert [r.file_name for r in sinks.file_names(rows).orderBy("chapter_id").collect()] == ["100-a", "1000-a", "001-a"]
+    assert len({r.file_name for r in sinks.file_names(rows.withColumn("book_id", F.col("chapter_id")).withColumn("position", F.lit(1))).collect()}) == 3
+
+
+def test_a_key_with_two_owners_stays_with_each(spark):
+    runs = spark.createDataFrame([("k", 1), ("k", 2)], "cache_key string, chapter_id long")
+    wanted = spark.createDataFrame([("k", 1), ("k", 2), ("k", 3), ("free", 3)], "cache_key string, chapter_id long")
+    kept = {(r.cache_key, r.chapter_id): r.owned_key == r.cache_key for r in incremental.owned_key(wanted, runs).collect()}
+    assert kept == {("k", 1): True, ("k", 2): True, ("k", 3): False, ("free", 3): True}
+
+
+def test_heaviest_chain_matches_brute_force(spark, blocks):
+    import itertools
+    import random
+
+    rng, rows, want = random.Random(2), [], {}
+    for chapter in range(30):
+        n = rng.randrange(1, 9)
+        order = list(range(n))
+        rng.shuffle(order)
+        rows += [(chapter, a, b) for a, b in enumerate(order)]
+        want[chapter] = max(k for k in range(1, n + 1) for c in itertools.combinations(order, k) if list(c) == sorted(c))
+    found: dict[int, list] = {}
+    pairs = spark.createDataFrame(rows, "chapter_id long, a long, b long")
+    for r in matching.heaviest_chain(pairs, matching.Seq(order=("a",))).collect():
+        found.setdefault(r.chapter_id, []).append((r.a, r.b))
+    assert {c: len(p) for c, p in found.items()} == want
+    assert all([b for _, b in sorted(p)] == sorted(b for _, b in p) for p in found.values())

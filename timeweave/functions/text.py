@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -268,18 +270,37 @@ def editable_text(text: Column) -> Column:
     return collapse(F.replace(fold_width(text), F.lit("­"), F.lit("")))  # H26
 
 
+# What the rules write for these references instead of their usual character.
+OWN_REFERENCES = {"nbsp": " "}
+
+
+def _references() -> Column:
+    """Character of every named reference of HTML, one literal that Spark folds."""
+    names = {name[:-1]: character for name, character in html5.items() if name.endswith(";") and name != "amp;"}
+    return F.from_json(F.lit(json.dumps(names | OWN_REFERENCES)), "map<string,string>")
+
+
+def _numeric(reference: Column) -> Column:
+    """Character of ``&#N;`` or ``&#xN;``; the replacement character where there is none."""
+    digits = F.regexp_extract(reference, "&#[xX]?([0-9a-fA-F]+);", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
 def unescape(text: Column, passes: int = 1) -> Column:
-    """Named and common numeric character references; ``&amp;`` last."""
-    # The references the rules resolve.
-    named = [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-        ("&#x27;", "'"), ("&nbsp;", " "), ("&hellip;", "…"), ("&mdash;", "—"),
-        ("&ndash;", "–"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
-        ("&rsquo;", "’"), ("&copy;", "©"), ("&eacute;", "é"), ("&shy;", "­"), ("&amp;", "&"),
-    ]
+    """Named and numeric character references; ``&amp;`` last.  Unknown names stay."""
+    names = _references()
+
+    def replaced(value: Column, pattern: str, character) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)))
+        return F.when(value.rlike(pattern), F.aggregate(found, value, lambda acc, x: F.replace(acc, x, character(x)))).otherwise(value)
+
     for _ in range(passes):
-        for reference, character in named:
-            text = F.replace(text, F.lit(reference), F.lit(character))
+        text = replaced(text, "&#(?:[0-9]{1,8}|[xX][0-9a-fA-F]{1,7});", _numeric)
+        text = replaced(text, "&[A-Za-z][A-Za-z0-9]*;", lambda x: F.coalesce(
+            F.try_element_at(names, F.substring(x, F.lit(2), F.length(x) - 2)), x))
+        text = F.replace(text, F.lit("&amp;"), F.lit("&"))
     return text
 
 

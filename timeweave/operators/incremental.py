@@ -14,29 +14,22 @@ DIGEST_ROWS = 4096
 
 def ordered_digest(df: DataFrame, seq: Seq, line: str, separator: str, name: str,
                    prefix: str = "", suffix: str = "", rows: int = DIGEST_ROWS, bits: int = 256) -> DataFrame:
-    """Digest of the ordered lines of a group.
+    """Digest of the ordered lines of a group, by one rule for every length.
 
-    Up to ``rows`` lines this is the plain digest of the joined text.  Longer groups are
-    digested in blocks of ``rows`` lines and then over the block digests, level by level,
-    so that no group is joined in one place; three levels cover ``rows``³ lines.
+    Lines are joined and digested in blocks of ``rows``; a group of several blocks is the digest
+    of its joined block digests.  No block of lines is ever joined with another one.
     """
     def digest(text: Column) -> Column:
         return F.sha2(text, 256) if bits == 256 else F.sha1(text)
 
-    level = number_rows(df.select(*seq.group, *seq.order, F.col(line).alias("__text")), seq, "__i").drop(
-        *[c for c in seq.order if c not in seq.group])
-    for depth in range(3):
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__text"))), lambda x: x["__text"]), separator)
-        packed = level.groupBy(*seq.group, F.floor(F.col("__i") / rows).alias("__b")).agg(
-            joined.alias("__joined"), F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
-        text = F.concat(F.lit(prefix), F.col("__joined"), F.lit(suffix))
-        if depth:
-            # A single digest below means the group is finished already.
-            value = F.when((F.col("__n") == 1) & (F.col("__first") == 0), F.col("__joined")).otherwise(digest(F.col("__joined")))
-        else:
-            value = digest(text)
-        level = packed.select(*seq.group, F.col("__b").alias("__i"), value.alias("__text"))
-    return level.groupBy(*seq.group).agg(F.min_by("__text", "__i").alias(name))
+    def joined(order: str, value: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), separator)
+
+    lines = number_rows(df.select(*seq.group, *seq.order, F.col(line).alias("__text")), seq, "__i")
+    blocks = lines.groupBy(*seq.group, F.floor(F.col("__i") / rows).alias("__b")).agg(
+        digest(F.concat(F.lit(prefix), joined("__i", "__text"), F.lit(suffix))).alias("__h"))
+    return blocks.groupBy(*seq.group).agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("__h")).otherwise(digest(joined("__b", "__h"))).alias(name))
 
 
 def alignment_text_hash(segments: DataFrame, seq: Seq = CHAPTER) -> DataFrame:
@@ -75,11 +68,12 @@ def recognition_key(signature: Column, parameters: str) -> Column:
 
 def owned_key(wanted: DataFrame, runs: DataFrame) -> DataFrame:
     """Keep a key when unused or owned by the same chapter, else salt it with the chapter."""
-    owners = runs.select("cache_key", F.col("chapter_id").alias("__owner")).dropDuplicates(["cache_key"])
-    foreign = F.col("__owner").isNotNull() & (F.col("__owner") != F.col("chapter_id"))
+    owners = runs.groupBy("cache_key").agg(F.lit(True).alias("__used"))
+    own = runs.select("cache_key", "chapter_id", F.lit(True).alias("__own")).distinct()
+    foreign = F.col("__used").isNotNull() & F.col("__own").isNull()
     salted = F.sha2(F.concat(F.col("cache_key"), F.lit("|chapter="), F.col("chapter_id").cast("string")), 256)
-    return wanted.join(owners, "cache_key", "left").withColumn(
-        "owned_key", F.when(foreign, salted).otherwise(F.col("cache_key"))).drop("__owner")
+    return wanted.join(owners, "cache_key", "left").join(own, ["cache_key", "chapter_id"], "left").withColumn(
+        "owned_key", F.when(foreign, salted).otherwise(F.col("cache_key"))).drop("__used", "__own")
 
 
 def quick_fingerprint(content: Column) -> Column:

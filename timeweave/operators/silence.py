@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.text import normalize_for_match
 from timeweave.functions.timecode import clamp01, silence_edges
-from timeweave.intervals import asof_join, within_join
+from timeweave.intervals import asof_join, point_join
 from timeweave.operators.timeline import timed
 from timeweave.ordered import CHAPTER, Agg, Seq, finish, fold, number_rows, prepare, prev, refine, scan
 
@@ -271,11 +271,13 @@ def align_by_silence(
     ).cast("long"))).withColumn("__reach", F.greatest(F.lit(2000), F.bround(
         (F.col("__hi") - F.col("__lo")) / F.col("__rows") * 0.8
     ).cast("long")))
-    widest = 60_000
-    wanted = free.filter("__target is not null").select(*keys, "position", "__target", "__reach", "__lo", "__hi")
+    wanted = free.filter("__target is not null").select(
+        *keys, "position", "__target", "__reach", "__lo", "__hi",
+        (F.col("__target") - F.col("__reach")).alias("__from"), (F.col("__target") + F.col("__reach")).alias("__upto"))
     sil = silences.select("chapter_id", F.col("time_ms").alias("c_time"), F.col("score").alias("c_score"),
                           F.coalesce("start_ms", "time_ms").alias("c_start"), F.coalesce("end_ms", "time_ms").alias("c_end"))
-    near = within_join(wanted, sil, ["chapter_id"], "__target", "c_time", widest).filter(
+    # Every row looks as far as its own reach.
+    near = point_join(sil, wanted, ["chapter_id"], "c_time", ("__from", "__upto"), closed=True).filter(
         (F.abs(F.col("c_time") - F.col("__target")) <= F.col("__reach")) & (F.col("c_score") >= 0.25)
         & (F.col("__lo") < F.col("c_time")) & (F.col("c_time") < F.col("__hi"))
     )

@@ -302,14 +302,14 @@ def limited_parts(spark, sf):
     return planning.limited_parts(*_long_audio(spark, sf))
 
 
-@query("speaking_rates", """WITH RECURSIVE b AS (SELECT l_orderkey AS chapter_id, l_linenumber AS block_no, sum(l_extendedprice)::DOUBLE AS spoken_ms, sum(l_quantity)::BIGINT AS units FROM lineitem GROUP BY ALL),
+@query("speaking_rates", """WITH RECURSIVE b AS (SELECT l_orderkey AS chapter_id, l_linenumber AS block_no, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS spoken_ms, sum(l_quantity)::BIGINT AS units FROM lineitem GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY block_no) AS k, spoken_ms / greatest(1, units) AS rate FROM b),
 f AS (SELECT chapter_id, block_no, k, rate AS blended FROM n WHERE k = 1 UNION ALL SELECT n.chapter_id, n.block_no, n.k, f.blended * 0.7 + n.rate * 0.3 FROM f JOIN n ON n.chapter_id = f.chapter_id AND n.k = f.k + 1)
-SELECT chapter_id, block_no, round(blended, 4) AS blended_rate FROM f""")
+SELECT chapter_id, block_no, floor(blended * 100 + 0.5)::BIGINT AS rate_hundredths FROM f""")
 def speaking_rates(spark, sf):
     blocks = r.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("chapter_id"), F.col("l_linenumber").alias("block_no")).agg(
-        F.sum("l_extendedprice").alias("spoken_ms"), F.sum("l_quantity").cast("long").alias("units"))
-    return planning.speaking_rates(blocks).select("chapter_id", "block_no", F.round("blended_rate", 4).alias("blended_rate"))
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("spoken_ms"), F.sum("l_quantity").cast("long").alias("units"))
+    return planning.speaking_rates(blocks).select("chapter_id", "block_no", F.floor(F.col("blended_rate") * 100 + 0.5).alias("rate_hundredths"))
 
 
 @query("usable_coverage", r.with_sql(r.PAGE_CUES) + """, l AS (SELECT *, max(CASE WHEN end_ms > start_ms THEN position END) OVER (PARTITION BY chapter_id) AS lt FROM cue WHERE trim(text) <> '')

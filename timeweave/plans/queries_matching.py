@@ -52,6 +52,22 @@ def unit_pairs(spark, sf):
     return alignment.aligned_documents(spark, sf)[1]["pairs"]
 
 
+@query("crossing_pairs", """WITH RECURSIVE p AS (SELECT l_orderkey AS chapter_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_extendedprice, l_linenumber) AS b FROM lineitem),
+s AS (SELECT chapter_id, a, b, 1 AS n FROM p UNION ALL SELECT p.chapter_id, p.a, p.b, s.n + 1 FROM s JOIN p ON p.chapter_id = s.chapter_id AND p.a > s.a AND p.b > s.b)
+SELECT chapter_id, max(n)::BIGINT AS kept, 0::BIGINT AS crossing FROM s GROUP BY chapter_id""")
+def crossing_pairs(spark, sf):
+    """Lines of an order against their order by part: many crossings; SQL tries every increasing subset."""
+    from timeweave.ordered import Seq, number_rows
+
+    lines = r.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chapter_id"), "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = number_rows(lines, Seq(order=("l_linenumber", "l_partkey", "l_extendedprice")), "a", 1)
+    lines = number_rows(lines, Seq(order=("l_partkey", "l_extendedprice", "l_linenumber")), "b", 1)
+    chain = matching.heaviest_chain(lines.select("chapter_id", "a", "b"), Seq(order=("a",)))
+    rows = chain.groupBy("chapter_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("p"))
+    bad = F.size(F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: (i > 1) & (F.get("p", i - 1)["b"] <= F.get("p", i - 2)["b"])))
+    return rows.select("chapter_id", F.size("p").cast("long").alias("kept"), bad.cast("long").alias("crossing"))
+
+
 ALIGNED = PAIRS + """,
 hit AS (SELECT p.chapter_id, u.position, count(*) AS hits, min(t.token_pos) AS ft, max(t.token_pos) AS lt FROM pairs p JOIN units u ON u.chapter_id = p.chapter_id AND u."at" = p.a JOIN tr t ON t.chapter_id = p.chapter_id AND t."at" = p.b GROUP BY ALL),
 tot AS (SELECT chapter_id, position, count(*) AS n FROM units GROUP BY ALL),

@@ -16,17 +16,31 @@ from timeweave.sources import documents as docs
 from timeweave.sources import sinks, subtitles
 from timeweave.streaming import jobs
 
-# Orders are a customer's linked slices of asset (orderkey % 1000), in order-key order.
-LINKS = """lk AS (SELECT o_custkey AS chapter_id, o_orderkey % 1000 AS audio_id, o_orderkey AS position, o_orderkey % 7 * 1000 AS source_start_ms, o_orderkey % 7 * 1000 + 500 + o_totalprice::BIGINT % 4000 AS source_end_ms FROM orders),
+# Orders are a customer's linked slices of one of the first 200 documents, in order-key order.  One
+# order in 97 names a medium that does not exist; its whole chapter is then unusable.
+LINKS = """lk AS (SELECT o_custkey AS chapter_id, CASE WHEN o_orderkey % 97 = 5 THEN -1 ELSE o_orderkey % 200 END AS audio_id, o_orderkey AS position, o_orderkey % 7 * 1000 AS source_start_ms, o_orderkey % 7 * 1000 + 500 + o_totalprice::BIGINT % 4000 AS source_end_ms FROM orders),
 ast AS (SELECT doc_id AS audio_id, sha256(text) AS fingerprint FROM documents),
-pt AS (SELECT lk.*, fingerprint, source_end_ms - source_start_ms AS d, sum(source_end_ms - source_start_ms) OVER (PARTITION BY chapter_id ORDER BY position) AS local_end FROM lk JOIN ast ON ast.audio_id = lk.audio_id),
+pt AS (SELECT lk.*, fingerprint, source_end_ms - source_start_ms AS d, sum(source_end_ms - source_start_ms) OVER (PARTITION BY chapter_id ORDER BY position) AS local_end FROM lk JOIN ast ON ast.audio_id = lk.audio_id
+  WHERE chapter_id NOT IN (SELECT chapter_id FROM lk WHERE audio_id NOT IN (SELECT audio_id FROM ast))),
 pa AS (SELECT *, local_end - d AS local_start FROM pt)"""
 
 
+def _digest_sql(source: str, line: str, name: str, function: str = "sha256", separator: str = "|", prefix: str = "", suffix: str = "", rows: int = incremental.DIGEST_ROWS) -> str:
+    """The one rule of ordered digests: of blocks of lines, and over the block digests if there are several."""
+    return f"""SELECT chapter_id, CASE WHEN count(*) = 1 THEN min(h) ELSE {function}(string_agg(h, '{separator}' ORDER BY blk)) END AS {name} FROM (
+SELECT chapter_id, blk, {function}('{prefix}' || string_agg(line, '{separator}' ORDER BY position) || '{suffix}') AS h FROM (
+SELECT chapter_id, position, {line} AS line, (row_number() OVER (PARTITION BY chapter_id ORDER BY position) - 1) // {rows} AS blk FROM {source}) GROUP BY chapter_id, blk) GROUP BY chapter_id"""
+
+
+SILENT = "audio_id || ':' || source_start_ms || ':' || source_end_ms"
+SIGNED = "audio_id || ':' || fingerprint || ':' || source_start_ms || ':' || source_end_ms || ':' || local_start::BIGINT || ':' || local_end::BIGINT"
+
+
 def _links(spark, sf):
     o = r.table(spark, sf, "orders")
     start = F.col("o_orderkey") % 7 * 1000
-    links = o.select(F.col("o_custkey").alias("chapter_id"), (F.col("o_orderkey") % 1000).alias("audio_id"), F.col("o_orderkey").alias("position"),
+    asset = F.when(F.col("o_orderkey") % 97 == 5, F.lit(-1)).otherwise(F.col("o_orderkey") % 200)
+    links = o.select(F.col("o_custkey").alias("chapter_id"), asset.cast("long").alias("audio_id"), F.col("o_orderkey").alias("position"),
                      start.alias("source_start_ms"), (start + 500 + F.bround("o_totalprice").cast("long") % 4000).alias("source_end_ms"))
     assets = r.table(spark, sf, "documents").select(F.col("doc_id").alias("audio_id"), F.sha2("text", 256).alias("fingerprint"))
     return links, assets
@@ -38,6 +52,12 @@ def chapter_parts(spark, sf):
     return parts.select("chapter_id", "audio_id", "position", "local_start", "local_end")
 
 
+@query("chapter_part_problems", f"WITH {LINKS} SELECT DISTINCT chapter_id, 'missing media' AS problem FROM lk WHERE audio_id NOT IN (SELECT audio_id FROM ast)")
+def chapter_part_problems(spark, sf):
+    """Chapters left out of every other query over parts, and why."""
+    return media.chapter_parts(*_links(spark, sf))[1]
+
+
 @query("interval_media", r.with_sql(r.TALK, LINKS) + """ SELECT c.chapter_id, c.position, pa.audio_id, pa.position AS part_no, (pa.source_start_ms + greatest(c.start_ms, local_start) - local_start)::BIGINT AS clip_begin, (pa.source_start_ms + least(c.end_ms, local_end) - local_start)::BIGINT AS clip_end
 FROM cue c JOIN pa ON pa.chapter_id = c.chapter_id AND c.start_ms < local_end AND local_start < c.end_ms WHERE c.end_ms > c.start_ms""")
 def interval_media(spark, sf):
@@ -66,19 +86,20 @@ def parts_at_or_after(spark, sf):
     return media.part_at_or_after(points, holes).select("chapter_id", "event_id", "at_ms", "part_no", "local_ms")
 
 
-@query("audio_signatures", f"WITH {LINKS} SELECT chapter_id, sha256(string_agg(audio_id || ':' || fingerprint || ':' || source_start_ms || ':' || source_end_ms || ':' || local_start::BIGINT || ':' || local_end::BIGINT, '|' ORDER BY position)) AS audio_signature FROM pa GROUP BY chapter_id")
+@query("audio_signatures", f"WITH {LINKS} {_digest_sql('pa', SIGNED, 'audio_signature', rows=3)}")
 def audio_signatures(spark, sf):
+    """Blocks of three lines, so that most chapters have several."""
     parts, _ = media.chapter_parts(*_links(spark, sf))
-    return media.audio_signature(parts)
+    return media.audio_signature(parts, rows=3)
 
 
-@query("silence_signatures", f"WITH {LINKS} SELECT chapter_id, sha1(string_agg(audio_id || ':' || source_start_ms || ':' || source_end_ms, '|' ORDER BY position) || '|vad=0.500|min=350|pad=80|snap=250|energy=18.000') AS silence_signature FROM pa GROUP BY chapter_id")
+@query("silence_signatures", f"WITH {LINKS} {_digest_sql('pa', SILENT, 'silence_signature', 'sha1', suffix='|vad=0.500|min=350|pad=80|snap=250|energy=18.000')}")
 def silence_signatures(spark, sf):
     parts, _ = media.chapter_parts(*_links(spark, sf))
     return incremental.silence_signature(parts)
 
 
-@query("recognition_keys", f"""WITH {LINKS}, s AS (SELECT chapter_id, sha256(string_agg(audio_id || ':' || fingerprint || ':' || source_start_ms || ':' || source_end_ms || ':' || local_start::BIGINT || ':' || local_end::BIGINT, '|' ORDER BY position)) AS sig FROM pa GROUP BY chapter_id)
+@query("recognition_keys", f"""WITH {LINKS}, s AS ({_digest_sql('pa', SIGNED, 'sig')})
 SELECT chapter_id, sha256(sig || {r.q('|' + incremental.recognition_parameters(vad_threshold=0.7))}) AS cache_key FROM s""")
 def recognition_keys(spark, sf):
     parts, _ = media.chapter_parts(*_links(spark, sf))
@@ -86,7 +107,7 @@ def recognition_keys(spark, sf):
     return media.audio_signature(parts).select("chapter_id", incremental.recognition_key(F.col("audio_signature"), parameters).alias("cache_key"))
 
 
-@query("alignment_text_hashes", r.with_sql(r.TALK) + """ SELECT chapter_id, sha256('[' || string_agg('[' || to_json(text) || ',' || locked || ',"' || origin || '",null,null,null]', ',' ORDER BY position) || ']') AS text_hash FROM cue GROUP BY chapter_id""")
+@query("alignment_text_hashes", r.with_sql(r.TALK) + " " + _digest_sql("cue", """'[' || to_json(text) || ',' || locked || ',"' || origin || '",null,null,null]'""", "text_hash", separator=",", prefix="[", suffix="]"))
 def alignment_text_hashes(spark, sf):
     null = F.lit(None).cast("long")
     return incremental.alignment_text_hash(r.talk_cues(spark, sf).withColumns({"source_fragment_id": null, "source_start_char": null, "source_end_char": null}))
@@ -184,11 +205,11 @@ def removable_media(spark, sf):
     return incremental.media_usage(assets, r.table(spark, sf, "labels").select(F.col("doc_id").alias("audio_id")))[1].select("audio_id")
 
 
-@query("relinked_media", f"""WITH {LINKS}, m AS (SELECT chapter_id, CASE WHEN audio_id < 500 THEN audio_id // 10 ELSE audio_id END AS audio_id, position, source_start_ms, CASE WHEN audio_id < 500 THEN least(source_end_ms, 5000) ELSE source_end_ms END AS source_end_ms FROM lk)
+@query("relinked_media", f"""WITH {LINKS}, m AS (SELECT chapter_id, CASE WHEN audio_id BETWEEN 0 AND 99 THEN audio_id // 10 ELSE audio_id END AS audio_id, position, source_start_ms, CASE WHEN audio_id BETWEEN 0 AND 99 THEN least(source_end_ms, 5000) ELSE source_end_ms END AS source_end_ms FROM lk)
 SELECT chapter_id, audio_id, source_start_ms, source_end_ms, min(position) AS position FROM m GROUP BY ALL""")
 def relinked_media(spark, sf):
     links, assets = _links(spark, sf)
-    swaps = r.table(spark, sf, "orders").select((F.col("o_orderkey") % 1000).alias("audio_id")).distinct().filter("audio_id < 500").select(
+    swaps = links.select("audio_id").distinct().filter("audio_id between 0 and 99").select(
         "audio_id", F.floor(F.col("audio_id") / 10).alias("new_audio_id"), F.lit(5000).cast("long").alias("new_duration_ms"))
     return media.relink(links.withColumn("confidence", F.lit(1.0)), swaps).select("chapter_id", "audio_id", "source_start_ms", "source_end_ms", "position")
 
@@ -288,7 +309,7 @@ SCRIPT_FREE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\\b
 
 
 def _unescape(x: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&")) * 2:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")) * 2:
         x = f"replace({x}, '{a}', '{b}')"
     return x
 

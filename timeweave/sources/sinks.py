@@ -38,9 +38,13 @@ def subtitle_lines(segments: DataFrame, kind: str = "srt", overlap_policy: str =
 
 
 def file_names(chapters: DataFrame) -> DataFrame:
-    """``NNN-title`` per chapter."""
-    return chapters.withColumn("file_name", F.concat(
-        F.lpad((F.col("position") + 1).cast("string"), 3, "0"), F.lit("-"), safe_name(F.col("title"), "chapter")))
+    """``NNN-title`` per chapter (A15), longer numbers in full; where chapters name a book, it goes first."""
+    number = (F.col("position") + 1).cast("string")
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    name = F.concat(padded, F.lit("-"), safe_name(F.col("title"), "chapter"))
+    if "book_id" in chapters.columns:
+        name = F.concat(safe_name(F.col("book_id").cast("string"), "book"), F.lit("-"), name)
+    return chapters.withColumn("file_name", name)
 
 
 def write_subtitles(segments: DataFrame, chapters: DataFrame, path: str, kind: str = "srt", **options: str) -> None:
@@ -60,7 +64,7 @@ def project_documents(chapters: DataFrame, links: DataFrame, assets: DataFrame,
     A chapter with more than ``part_rows`` segments continues in documents with the same id
     and the next ``part``, so that no document outgrows a task.
     """
-    audio = links.join(assets.select("audio_id", "path", "duration_ms", "fingerprint"), "audio_id").groupBy("chapter_id").agg(
+    audio = links.join(assets.select("audio_id", "path", "duration_ms", "fingerprint"), "audio_id", "left").groupBy("chapter_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "audio_id", "path", "duration_ms", "fingerprint", "source_start_ms", "source_end_ms"))).alias("audio_links"))
     rows = segments.withColumn("confidence", F.bround("confidence", 4)).groupBy("chapter_id", F.floor(F.col("position") / part_rows).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("position", "text", "start_ms", "end_ms", "confidence", "status", "locked", "origin"))).alias("segments"))

@@ -44,7 +44,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LOWEST = -np.inf
 BETWEEN = "\0"
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 BLOCK_CELLS = 200_000
 ADDED = ("token_ids", "n_tokens", "decoded_text")
 NORMAL, BYTE = 1, 6
@@ -81,14 +81,17 @@ class Pieces:
         self.automaton.make_automaton()
         self.rank = {piece.piece: piece.score for piece in model.pieces if piece.type == NORMAL}
         self.by_merging = model.trainer_spec.model_type == BPE_TYPE
-        self.apart: dict[int, bool] = {}
         self.text_of = [piece.piece for piece in model.pieces]
         self.length = np.array([len(piece.piece) for piece in model.pieces])
         self.score = np.array([piece.score for piece in model.pieces])
         self.unknown = min(piece.score for piece in model.pieces if piece.type == NORMAL) - UNKNOWN_PENALTY
         apart = "".join(c for c in "\n\r\t" if c not in known)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else ""))
+        self.forget()
+
+    def forget(self) -> None:
         self.remembered: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
 
     def stays_apart(self, before: int, piece: int) -> bool:
         """Whether merging the characters of two pieces ends with these two (or, at the start, this one)."""
@@ -239,6 +242,8 @@ def encode(df: DataFrame, model: bytes, text: str = "text", with_text: bool = Fa
                 [*(batch.column(f.name) for f in keep), flat, pa.array(np.diff(sizes).astype(np.int64)), pa.array(decoded, pa.string())],
                 names=[f.name for f in keep] + list(ADDED),
             )
+        # A worker lives on for tasks of other operators; it should not hold the tables meanwhile.
+        pieces.forget()
 
     return df.mapInArrow(run, schema)
 

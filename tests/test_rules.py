@@ -368,3 +368,16 @@ def test_heaviest_chain_matches_brute_force(spark, blocks):
         found.setdefault(r.chapter_id, []).append((r.a, r.b))
     assert {c: len(p) for c, p in found.items()} == want
     assert all([b for _, b in sorted(p)] == sorted(b for _, b in p) for p in found.values())
+
+
+def test_edited_and_short_passages_are_located(spark):
+    from timeweave.operators import location
+
+    words = [f"word{i}" for i in range(60)]
+    edited = [w if i not in (4, 25, 47) else "xxxxx" for i, w in enumerate(words)]
+    longer = words[:20] + ["more"] + words[20:]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "zeta eta"), (3, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "before " * 9 + " ".join(edited) + " after" * 9), (11, "a zeta eta b"), (12, " ".join(longer)), (13, "only solo here"), (14, "nothing")],
+                                 "doc_id long, text string")
+    found = {(r.item_id, r.doc_id): (r.start_unit, r.method) for r in location.locate_passages(items, docs).collect()}
+    assert found == {(1, 10): (9, "fuzzy"), (1, 12): (0, "fuzzy"), (2, 11): (1, "exact"), (3, 13): (1, "exact")}

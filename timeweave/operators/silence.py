@@ -23,6 +23,12 @@ def frame_energy(samples: DataFrame, size: int) -> DataFrame:
     )
 
 
+def samples_between(samples: DataFrame, rate: int, start_ms: int = 0, end_ms: int | None = None) -> DataFrame:
+    """Only the samples of ``[start_ms, end_ms)`` (A13): constant bounds, so the scan skips the rest."""
+    wanted = samples.filter(F.col("sample_no") >= max(0, start_ms * rate // 1000))
+    return wanted if end_ms is None else wanted.filter(F.col("sample_no") < max(start_ms, end_ms) * rate // 1000)
+
+
 def exact_percentile(df: DataFrame, value: str, fraction: float, name: str, group: str = "chapter_id",
                      bins: int = 4096) -> DataFrame:
     """Linear-interpolated percentile per group that never gathers a group.
@@ -52,9 +58,11 @@ def exact_percentile(df: DataFrame, value: str, fraction: float, name: str, grou
     def at(rank: str) -> Column:
         return F.min(F.when((F.col("from") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v")))
 
-    return ranked.groupBy(group).agg(at("r0").alias("v0"), at("r1").alias("v1"), F.max(F.col("rank") - F.col("r0")).alias("t")).select(
-        group, (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("t")).alias(name)
-    )
+    # The formula of Spark's percentile(), so that both ways agree to the last bit.
+    between = F.col("over") * F.col("v0") + F.col("t") * F.col("v1")
+    return ranked.groupBy(group).agg(
+        at("r0").alias("v0"), at("r1").alias("v1"), F.max(F.col("rank") - F.col("r0")).alias("t"), F.max(F.col("r1") - F.col("rank")).alias("over"),
+    ).select(group, F.when((F.col("t") == 0) | (F.col("v0") == F.col("v1")), F.col("v0")).otherwise(between).alias(name))
 
 
 def silence_threshold(frames: DataFrame, percentile: float = 18.0) -> DataFrame:

@@ -115,3 +115,12 @@ def work_totals(chapters: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "complete").alias("cache_hits"),
     )
     return per_book.join(work, "book_id", "left").na.fill(0, ["chunk_total", "total_audio_ms", "cache_hits"])
+
+
+# Fixed value: backends whose token times come from the model itself.
+MODEL_TIMED = ("qwen3-asr",)
+
+
+def snaps_to_silence(backend: Column) -> Column:
+    """Whether times of a backend may be moved to pauses (H37); not if the model timed them itself."""
+    return ~F.coalesce(backend.isin(*MODEL_TIMED), F.lit(False))

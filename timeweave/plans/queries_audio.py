@@ -18,6 +18,18 @@ def frame_energy(spark, sf):
     return silence.frame_energy(rows, 20).withColumn("rms", F.round("rms", 6))
 
 
+@query("samples_between", "SELECT user_id AS chapter_id, event_id AS sample_no, value FROM events WHERE event_id >= 312 AND event_id < 4000")
+def samples_between(spark, sf):
+    rows = r.table(spark, sf, "events").select(F.col("user_id").alias("chapter_id"), F.col("event_id").alias("sample_no"), "value")
+    return silence.samples_between(rows, 250, 1_249, 16_000)
+
+
+@query("snap_policy", "SELECT doc_id, doc_id % 3 <> 2 AS snaps FROM documents")
+def snap_policy(spark, sf):
+    kinds = F.array(*[F.lit(x) for x in ("whisper", "other", *transcript.MODEL_TIMED)])
+    return r.table(spark, sf, "documents").select("doc_id", transcript.snaps_to_silence(F.get(kinds, (F.col("doc_id") % 3).cast("int"))).alias("snaps"))
+
+
 @query("silence_threshold", r.with_sql(THRESHOLD) + " SELECT chapter_id, round(threshold, 6) AS threshold FROM th")
 def silence_threshold(spark, sf):
     return silence.silence_threshold(r.frames(spark, sf)).withColumn("threshold", F.round("threshold", 6))

@@ -348,6 +348,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text():
     assert html_text.main_text(PAGE, frozenset()) == "One & two bold x next é © 5 < 6 &am"
     assert [html_text.main_text(x, frozenset()) for x in (None, "", "<", "plain", "<div>a<div>b</div>c", "<script>x", "</p>y")] == ["", "", "<", "plain", "a b c", "", "y"]
+    framed = "<div class='layout has-sidebar'><article><p>a</p><div class='share'>b</div></article><aside><article>c</article></aside></div>"
+    assert html_text.main_text(framed, frozenset()) == "a"
     assert html_text.main_text("<main>" + "<p>w</p>" * 20000 + "</main>", frozenset()) == " ".join(["w"] * 20000)
 
 

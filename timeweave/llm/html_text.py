@@ -49,7 +49,7 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 SELF_CLOSING = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 # Words of a class, id or role that mark furniture.
 FURNITURE = frozenset(
-    "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads advert adverts advertisement sponsor sponsored promo "
+    "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adsense adslot advert adverts advertisement advertising sponsor sponsored promo "
     "banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social breadcrumb breadcrumbs "
     "comment comments reply replies respond disqus related widget contentinfo complementary search pagination pager toolbar".split()
 )
@@ -57,6 +57,7 @@ NOT_ARTICLES = frozenset("comment comments reply replies ad ads advert advertise
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HAS_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -67,9 +68,11 @@ class Element:
         self.tag, self.gone, self.main, self.start, self.mark, self.eligible = tag, gone, main, start, mark, eligible
 
 
-def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int]]]:
+def read_page(page: str, named_outside: bool = True) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int]]]:
     """Pieces of text outside furniture with whether they are in an article, and hashed containers.
 
+    Without ``named_outside`` classes and ids outside articles say nothing.
+
     A piece is a text, or a line break where a block begins or ends.  A container is the hash of its
     subtree and the range of pieces it covers.
     """
@@ -126,7 +129,7 @@ def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
             gone = gone or not words.isdisjoint(NOT_ARTICLES)
             main = True
         elif tag not in HOLDERS:
-            gone = gone or tag in DROPPED or not words.isdisjoint(FURNITURE)
+            gone = gone or tag in DROPPED or (named_outside or main) and not words.isdisjoint(FURNITURE)
         if tag not in INLINE and not gone:
             pieces.append(("\n", main))
         if tag in VOID:
@@ -154,13 +157,18 @@ def hash_text(value: str) -> int:
 def main_text(page: str | None, recurring) -> str:
     """The text of a page without containers whose hash ``recurring`` holds."""
     pieces, containers = read_page(page or "")
+    inside = any(main and part != "\n" and part.strip() for part, main in pieces)
+    if not inside and HAS_ARTICLE.search(page or ""):
+        # The article may stand in a frame whose class names a sidebar or the like.
+        again = read_page(page, named_outside=False)
+        inside = any(main and part != "\n" and part.strip() for part, main in again[0])
+        pieces, containers = again if inside else (pieces, containers)
     gone = np.zeros(len(pieces) + 1, np.int32)
     for value, start, stop in containers:
         if value in recurring:
             gone[start] += 1
             gone[stop] -= 1
     deleted = np.cumsum(gone) > 0
-    inside = any(main and part != "\n" and part.strip() for part, main in pieces)
     return " ".join("".join([part for (part, main), out in zip(pieces, deleted) if (main or not inside) and not out]).split())
 
 

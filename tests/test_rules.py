@@ -381,3 +381,18 @@ def test_edited_and_short_passages_are_located(spark):
                                  "doc_id long, text string")
     found = {(r.item_id, r.doc_id): (r.start_unit, r.method) for r in location.locate_passages(items, docs).collect()}
     assert found == {(1, 10): (9, "fuzzy"), (1, 12): (0, "fuzzy"), (2, 11): (1, "exact"), (3, 13): (1, "exact")}
+
+
+def test_full_compatibility_folding(spark):
+    import unicodedata
+
+    values = ["ﬁne Ⅳ ｶﾞ", "ＡＢＣ， 你好！", "e\u0301tude ½ ſtraße", "ΣΑΣ ς", "㌔ ﷺ", "plain é", "𝐀𝟏", "x²", "한글"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, t string")
+    got = [r for r in rows.orderBy("i").select(text.normalize_for_match(F.col("t")).alias("m"), text.normalize_title(F.col("t")).alias("h"), text.editable_text(F.col("t")).alias("e")).collect()]
+    for value, r in zip(values, got):
+        nfkc = unicodedata.normalize("NFKC", value)
+        folded = unicodedata.normalize("NFKC", nfkc.casefold())
+        assert r.m == "".join(c for c in folded if unicodedata.category(c)[0] not in "PZC"), value
+        assert r.e == " ".join(nfkc.split()), value
+        bare = "".join(c for c in unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(x))) if unicodedata.category(c)[0] in "LN")
+        assert r.h == bare, value

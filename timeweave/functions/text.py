@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Character classes shared by the text rules.
 CJK = r"\x{3400}-\x{9fff}\x{3040}-\x{30ff}"
@@ -59,26 +57,103 @@ def fold_case(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def normalize_for_match(text: Column) -> Column:
-    """Width- and case-folded text without punctuation, separators and controls (H1)."""
+# Texts without such characters need no table: ASCII, Latin-1 and Latin Extended-A but for their
+# compatibility characters.
+_SIMPLE_UPTO = 0x17E
+_GATE = "[" + "".join(
+    f"\\x{{{c:x}}}" for c in range(0x80, _SIMPLE_UPTO + 1) if unicodedata.normalize("NFKC", chr(c)) != chr(c)
+) + f"\\x{{{_SIMPLE_UPTO + 1:x}}}-\\x{{10ffff}}]"
+_MARKS = r"\x{300}-\x{36f}\x{3099}\x{309a}"
+
+
+def _nfkc(c: str) -> str:
+    return unicodedata.normalize("NFKC", c)
+
+
+def _matched(c: str) -> str:
+    return _nfkc(_nfkc(c).casefold())
+
+
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", _matched(c)) if not unicodedata.combining(x))
+
+
+@cache
+def _table(rule) -> tuple[str, str]:
+    """All characters that a rule changes as a regular-expression class, and their images as JSON.
+
+    Hangul syllables, which only fall apart, are left as they are.
+    """
+    changed = {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if not (0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3) and rule(c) not in (c, c.lower()):
+            changed[c] = rule(c)
+    codes, ranges = sorted(map(ord, changed)), []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ranges) + "]", json.dumps(changed)
+
+
+@cache
+def _composed() -> str:
+    """Base letters with one mark and the character they make, as JSON."""
+    pairs = {}
+    for code in range(0xC0, 0x10000):
+        apart = unicodedata.normalize("NFD", chr(code))
+        if len(apart) == 2 and _nfkc(apart) == chr(code):
+            pairs[apart] = chr(code)
+    return json.dumps(pairs)
+
+
+def _through(text: Column, rule) -> Column:
+    """``text`` with every character replaced by its image, then letters and marks put together.
+
+    Only the different characters that occur are looked up.
+    """
+    pattern, table = _table(rule)
+
+    def replaced(value: Column, found: str, images: str) -> Column:
+        lookup = F.from_json(F.lit(images), "map<string,string>")
+        parts = F.array_distinct(F.regexp_extract_all(value, F.lit(found), F.lit(0)))
+        return F.aggregate(parts, value, lambda acc, x: F.replace(acc, x, F.coalesce(F.try_element_at(lookup, x), x)))
+
+    whole = replaced(text, pattern, table)
+    return F.when(whole.rlike(f"[{_MARKS}]"), replaced(whole, f"[^{_MARKS}][{_MARKS}]", _composed())).otherwise(whole)
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility normal form of characters and of letters with one mark."""
+    return F.when(text.rlike(_GATE), _through(text, _nfkc)).otherwise(text)
+
+
+def _fold_all(text: Column, rule) -> Column:
+    """Lower case has a final sigma; folded case has one sigma."""
+    return F.replace(fold_case(_through(text, rule)), F.lit("ς"), F.lit("σ"))
+
+
+def _simple_match(text: Column) -> Column:
     return F.regexp_replace(fold_case(fold_width(text)), r"[\p{P}\p{Z}\p{C}]", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Full compatibility normalisation, for texts the width table does not cover."""
-    for batch in batches:
-        yield batch.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def normalize_for_match(text: Column) -> Column:
+    """Compatibility- and case-folded text without punctuation, separators and controls (H1)."""
+    full = F.regexp_replace(_fold_all(text, _matched), r"[\p{P}\p{Z}\p{C}]", "")
+    return F.when(text.rlike(_GATE), full).otherwise(_simple_match(text))
 
 
 def normalize_title(text: Column) -> Column:
     """Accent-free, case-folded letters and digits only (H2)."""
     plain = F.translate(fold_case(fold_width(text)), _ACCENTED, _PLAIN)
-    return F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")
+    full = _fold_all(text, _plain)
+    return F.regexp_replace(F.when(text.rlike(_GATE), full).otherwise(plain), r"[^\p{L}\p{N}]", "")
 
 
 def visible_title(text: Column) -> Column:
-    return F.regexp_replace(fold_width(text), r"\p{Cf}", "")
+    return F.regexp_replace(compatible(text), r"\p{Cf}", "")
 
 
 def has_text(text: Column) -> Column:
@@ -103,10 +178,9 @@ def measure(text: Column, cjk: Column) -> Column:
 
 def match_units(text: Column, character_mode: Column | bool = False) -> Column:
     """Normalised lexical units, or characters in character mode (H4)."""
-    words = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), normalize_for_match),
-        lambda unit: unit != "",
-    )
+    found = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+    units = F.when(text.rlike(_GATE), F.transform(found, normalize_for_match)).otherwise(F.transform(found, _simple_match))
+    words = F.filter(units, lambda unit: unit != "")
     if character_mode is False:
         return words
     characters = F.filter(F.split(normalize_for_match(text), ""), lambda c: c != "")
@@ -267,7 +341,7 @@ def collapse(text: Column) -> Column:
 
 
 def editable_text(text: Column) -> Column:
-    return collapse(F.replace(fold_width(text), F.lit("­"), F.lit("")))  # H26
+    return collapse(F.replace(compatible(text), F.lit("­"), F.lit("")))  # H26
 
 
 # What the rules write for these references instead of their usual character.

@@ -235,7 +235,8 @@ def minimisers(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def shared_stretches(docs: DataFrame) -> DataFrame:
     """(doc_id, place, m, id) of every stretch whose minimiser occurs more than once."""
-    often = minimisers(docs, ("m",)).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m")
+    # Written, so that the join reads both sides from exchanges of their own and a hot minimiser can be split.
+    often = cut_lineage(minimisers(docs, ("m",)).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m"))
     return minimisers(docs, ("doc_id", "place", "m", "id")).join(often, "m")
 
 

@@ -410,3 +410,17 @@ def test_contained_items_are_all_found(spark):
     held = {(d, i) for d, t in zip(docs.doc_id, docs.text) for w in [words(t)] for i, x in texts if x in w}
     found = {(r.doc_id, r.item_id) for r in decontamination.op10_decontamination(spark, folder).collect()}
     assert held <= found and len(found - held) <= len(held) // 10
+
+
+# The bounded filter of ids
+
+def test_filter_never_misses_and_splits_all(spark):
+    from timeweave.llm.filters import IdFilter
+
+    ids = spark.range(0, 3000, 7)
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    made = IdFilter(ids, "id")
+    inside = {r.doc_id for r in made.rows(docs, "doc_id", inside=True).collect()}
+    outside = {r.doc_id for r in made.rows(docs, "doc_id", inside=False).collect()}
+    assert set(range(0, 3000, 7)) <= inside and not inside & outside and len(inside) + len(outside) == 3001
+    assert len(inside) < 450

@@ -1,17 +1,18 @@
 """A bounded filter for ids: rows that surely have no partner need not be shuffled with their texts.
 
-The filter is a bit for each of ``BITS`` hash values (8 MB, whatever the input).  It never misses an
-id it was made from; others pass with a chance that grows with the number of ids, up to all of them
-for very many.  So an exact join always follows, and only its cost depends on the filter.
+The filter is a bit for each of ``BITS`` hash values, kept as at most ``BITS / 64`` rows of 64 bits, so
+its broadcast has a fixed bound whatever the input.  It never misses an id it was made from; others
+pass with a chance that grows with the number of ids, up to all of them for very many.  So an exact
+join always follows, and only its cost depends on the filter.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.tables import cut_lineage
+
 BITS = 1 << 26
 
 
@@ -20,24 +21,16 @@ def _bit(column: str) -> Column:
 
 
 class IdFilter:
-    """Made from the ``column`` of a DataFrame; its words come to the driver, at most ``BITS`` bits."""
+    """Made from the ``column`` of a DataFrame."""
 
     def __init__(self, ids: DataFrame, column: str):
-        bit = _bit(column)
-        words = ids.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask"))
-        rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        bits = np.zeros(BITS // 64, np.uint64)
-        bits[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
-        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(column) % 64).cast("int"))
+        words = ids.select(F.shiftright(_bit(column), 6).alias("__word"), mask.alias("__mask"))
+        self.words = cut_lineage(words.groupBy("__word").agg(F.bit_or("__mask").alias("__mask")))
 
     def rows(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
         """The rows whose id may be in the filter, or those whose id surely isn't."""
-        shared = self.shared
-
-        def keep(batches):
-            for batch in batches:
-                bit = batch.column("__bit").to_numpy()
-                has = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(has == inside))
-
-        return df.select("*", _bit(column).alias("__bit")).mapInArrow(keep, df.schema)
+        word, place = F.shiftright(_bit(column), 6), (_bit(column) % 64).cast("int")
+        marked = df.withColumns({"__w": word, "__p": place}).join(F.broadcast(self.words), F.col("__w") == F.col("__word"), "left")
+        has = F.coalesce(F.call_function("shiftright", F.col("__mask"), F.col("__p")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+        return marked.filter(has if inside else ~has).select(*df.columns)

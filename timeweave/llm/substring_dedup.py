@@ -42,7 +42,7 @@ from timeweave.llm.words import STEP, gram_hashes, inverse, mix, powers, raw, sl
 WINDOW = 35
 GRAM = 8
 PLACE = (1 << 32) - 1
-SHARD_WORDS = 250_000
+SHARD_WORDS = 150_000
 CROWDED = 4_096
 SPREAD = 64
 

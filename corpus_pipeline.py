@@ -21,8 +21,11 @@ from timeweave.llm.tables import cut_lineage, read
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go, and those that no language's model codes better than plain bytes."""
     model = language_id.train(docs)
-    marked = language_id.identify(docs.withColumn("__id_text", F.col("text")).select(F.struct(*docs.columns).alias("row"), "__id_text"), model, "__id_text")
-    return marked.filter(language_id.accepted()).select("row.*")
+    # The other columns travel as one, so that none of them can clash with the added ones.
+    others = [c for c in docs.columns if c != "text"]
+    marked = language_id.identify(docs.select(F.struct(*others).alias("__row"), "text"), model)
+    kept = marked.filter(language_id.accepted())
+    return kept.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

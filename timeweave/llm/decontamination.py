@@ -9,8 +9,8 @@ Words are lower-cased runs of letters and digits, hashed to ``TERMS`` terms.
    into term vectors (twice, with one power step).  Only matrices of the size of a block are on the
    driver.  The rank grows until every item keeps ``KEPT`` of its length.
 3. Every document is read in steps of ``STRIDE`` words.  A window of ``WINDOW`` words is projected if the
-   terms of the block's items have enough of its weight to reach the cosine at all (half of what
-   they would need, as repeated words weigh more than they are counted).  Items with cosine ``COSINE``
+   terms of the block's items have the share of its weight without which no cosine reaches
+   ``COSINE`` (by Cauchy's inequality, every occurrence of a word counted).  Items with cosine ``COSINE``
    or more are candidates (cosines against the window's full length, so that a window with one
    word of the benchmark doesn't look like it).
 4. For each candidate the words around its windows are compared with the item: the longest common
@@ -218,14 +218,17 @@ def _block(spark: SparkSession, docs: DataFrame, items: DataFrame, idf: np.ndarr
                 same = of[ahead:] == of[:-ahead]
                 all_weight[:-ahead][same] += one[ahead:][same]
                 known_weight[:-ahead][same] += one_known[ahead:][same]
-            able = np.flatnonzero(known_weight >= COSINE ** 2 / 2 * all_weight)
+            able = np.flatnonzero(known_weight >= COSINE ** 2 * all_weight)
             hit, item, score = [], [], []
             for a in range(0, len(able), PROJECTED):
                 part = able[a:a + PROJECTED]
                 at_word = start[part][:, None] + np.arange(WINDOW)
                 inside = at_word < at[of[part] + 1][:, None]
-                rows = np.where(inside, place[term[np.minimum(at_word, len(term) - 1)]], len(weighted) - 1)
-                cosine = (weighted[rows].sum(axis=1) @ latent.T) / np.sqrt(all_weight[part])[:, None]
+                inside &= known[np.minimum(at_word, len(term) - 1)]
+                # A window that passes has a known word, so no stretch of rows is empty.
+                first = np.concatenate([[0], np.cumsum(inside.sum(axis=1))[:-1]])
+                vector = np.add.reduceat(weighted[place[term[at_word[inside]]]], first)
+                cosine = (vector @ latent.T) / np.sqrt(all_weight[part])[:, None]
                 x, y = np.nonzero(cosine >= COSINE)
                 hit.append(a + x), item.append(y), score.append(cosine[x, y])
             hit, item, score = (np.concatenate(x) for x in (hit, item, score)) if hit else (np.zeros(0, np.int64),) * 3

@@ -38,11 +38,20 @@ def mix(values: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(factor: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, factor, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """Powers from 0 on, modulo 2**64; those that an ordinary slice needs are kept."""
+    kept = _POWERS.get(int(factor))
+    if kept is None or len(kept) < n:
+        size = max(n, SLICE_BYTES + (1 << 16))
+        kept = np.full(size, factor, np.uint64)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if size <= 2 * SLICE_BYTES:
+            _POWERS[int(factor)] = kept
+    return kept[:n]
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

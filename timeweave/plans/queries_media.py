@@ -423,7 +423,7 @@ def overlapping_cues(spark, sf):
     return sinks.overlapping_cues(r.page_cues(spark, sf), r.cue_seq(spark, sf)).select("chapter_id", "position")
 
 
-@query("project_documents", r.with_sql(r.TALK, LINKS) + """ SELECT c.chapter_id, count(*) AS n_segments, any_value(n) AS n_links, string_agg(c.position || ':' || round_even(c.confidence, 4)::VARCHAR, '|' ORDER BY c.position) AS line FROM cue c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM pa GROUP BY chapter_id) l ON l.chapter_id = c.chapter_id GROUP BY c.chapter_id""")
+@query("project_documents", r.with_sql(r.TALK, LINKS) + """ SELECT c.chapter_id, count(*) AS n_segments, any_value(n) AS n_links, string_agg(c.position || ':' || round_even(c.confidence, 4)::VARCHAR, '|' ORDER BY c.position) AS line FROM cue c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM lk GROUP BY chapter_id) l ON l.chapter_id = c.chapter_id GROUP BY c.chapter_id""")
 def project_documents(spark, sf):
     links, assets = _links(spark, sf)
     cues = r.talk_cues(spark, sf)

@@ -401,6 +401,25 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(13)]
 
 
+def test_items_of_all_lengths_are_found(spark):
+    rng = random.Random(12)
+    items = {n: prose(rng, n, 10**6) for n in (1, 2, 3, 16, 60, 200, 500)}
+    common = "plain words here"  # in several texts, so lighter than the words around it
+    texts, held = [], []
+    for n, item in items.items():
+        reworded = " ".join(w if k % 4 < 3 else f"new{n}x{k}" for k, w in enumerate(item.split()))
+        for copy in [item] + [reworded] * (n > 8):
+            held.append((len(texts), n))
+            texts.append(prose(rng, 90, 10**6) + " " + copy + " " + prose(rng, 90, 10**6))
+    held += [(len(texts) + k, 4) for k in range(3)]
+    texts += [prose(rng, 50, 10**6) + " " + common + " " + prose(rng, 50, 10**6) for _ in range(3)] + ["here plain " + prose(rng, 50, 10**6) + " words" for _ in range(3)]
+    texts += [prose(rng, 90, 10**6) for _ in range(40)] + [common.split()[0] + " " + prose(rng, 20, 10**6)]
+    benchmark = spark.createDataFrame([*items.items(), (4, common)], "item_id long, text string")
+    found = decontamination.contaminated(documents(spark, texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted(held)
+    assert all(0 < r.cosine <= 1.001 for r in found)
+
+
 def test_contained_items_are_all_found(spark):
     words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     folder = "/root/testdata/sf0.01"

@@ -293,6 +293,17 @@ def test_page_matching(spark):
     assert {(r.chapter_id, r.page_id) for r in mapping.match_pages(ch, pg).collect()} == {(0, 12), (1, 10), (2, 11)}
 
 
+def test_pages_with_any_shared_shingle_are_scored(spark):
+    words = [f"{chr(97 + i % 26)}{i * 7919 % 10007}" for i in range(400)]
+    phrase = "onlythewrongpagehasthis"
+    told = " ".join(words[:100])
+    # The rarest shingles of the chapter are those of the phrase; the true page's are in another edition too.
+    ch = spark.createDataFrame([(1, 0, 0, f"{told} {phrase}")], "book_id int, chapter_id long, position long, text string")
+    pages = [f"{phrase} " + " ".join(words[200:300]), told + " and more", " ".join(words[:100] + words[320:390])]
+    pg = spark.createDataFrame([(1, 10 + i, i, t) for i, t in enumerate(pages)], "book_id int, page_id long, spine_pos long, text string")
+    assert [(r.chapter_id, r.page_id, r.method) for r in mapping.match_pages(ch, pg).collect()] == [(0, 11, "similar")]
+
+
 def test_transcript_numbers(spark):
     toks = spark.createDataFrame([(1, 5, "a"), (1, 9, "b")], "chapter_id long, token_pos long, text string")
     assert [r["at"] for r in transcript_of(toks).orderBy("token_pos").collect()] == [0, 1]

@@ -272,7 +272,7 @@ def match_pages(chapters: DataFrame, pages: DataFrame, minimum: float = 0.45) ->
     """Page of each chapter: the same key when it is unique, else the most similar page.
 
     ``chapters(book_id, chapter_id, position, text)``, ``pages(book_id, page_id, spine_pos,
-    text)``.  Candidates share one of the chapter's eight rarest opening shingles;
+    text)``.  Every page that shares an opening shingle of 16 characters is scored;
     each page serves one chapter, earlier chapters first, in rounds until nothing changes.
     """
     def keyed(df: DataFrame, opening: str) -> DataFrame:
@@ -296,14 +296,18 @@ def match_pages(chapters: DataFrame, pages: DataFrame, minimum: float = 0.45) ->
         return df.select("book_id", F.lit(side).alias("side"), F.col("chapter_id" if side == 0 else "page_id").alias("id"), F.explode(grams).alias("gram"))
 
     ours, theirs = shingles(rest, "l_open", 0), shingles(free, "r_open", 1)
-    spread = theirs.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    # Each chapter asks with its eight rarest shingles; every page that has one is scored.
-    asked = ours.join(spread, ["book_id", "gram"]).groupBy("book_id", "id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, 8).alias("g")
-    ).select("book_id", F.col("id").alias("chapter_id"), F.explode("g.gram").alias("gram"))
-    pairs = asked.join(theirs.select("book_id", "gram", F.col("id").alias("page_id")), ["book_id", "gram"]).select(
-        "book_id", "chapter_id", "page_id").distinct()
-    scored = cut_lineage(pairs.join(rest, ["book_id", "chapter_id"]).join(free, ["book_id", "page_id"]).withColumn(
+    # Shingles with the same chapters and pages, as those of one passage, give the same pairs: one of them asks.
+    # Each row has a shingle once, so a xor of the rows' hashes stands for the set.
+    rows = [F.bit_xor(F.xxhash64("side", "id", F.lit(seed))).alias(f"rows{seed}") for seed in (1, 2)]
+    spread = ours.unionByName(theirs).groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.sum("side").alias("pages"), *rows).filter(
+        (F.col("pages") > 0) & (F.col("pages") < F.col("n")))
+    asking = cut_lineage(spread.groupBy("book_id", "n", "pages", "rows1", "rows2").agg(F.min("gram").alias("gram")).select("book_id", "gram"))
+    pairs = ours.join(asking, ["book_id", "gram"]).select("book_id", "gram", F.col("id").alias("chapter_id")).join(
+        theirs.select("book_id", "gram", F.col("id").alias("page_id")), ["book_id", "gram"]).select("book_id", "chapter_id", "page_id").distinct()
+    # The edit distance is at least the difference of the lengths, so pairs too uneven for the minimum are left out first.
+    lengths = F.length("l_open"), F.length("r_open")
+    scored = cut_lineage(pairs.join(rest, ["book_id", "chapter_id"]).join(free, ["book_id", "page_id"]).filter(
+        F.least(*lengths) >= F.greatest(*lengths) * (minimum - 1e-9)).withColumn(
         "score", similarity(F.col("l_open"), F.col("r_open"))).filter(F.col("score") >= minimum).select(
         "book_id", "chapter_id", "position", "page_id", "spine_pos", "score"))
     done, open_ = None, scored

@@ -270,6 +270,19 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, crowded):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in done) == removed(texts, 35)
 
 
+@pytest.mark.parametrize("crowded", [4096, 1])
+def test_substring_dedup_with_null_ids(spark, monkeypatch, crowded):
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    rng = random.Random(7)
+    shared, nameless, whole = prose(rng, 50), prose(rng, 45), prose(rng, 70)
+    around = lambda passage: prose(rng, 20) + " " + passage + " " + prose(rng, 20)
+    texts = [around(shared), around(shared), around(shared), around(nameless), around(nameless), whole, whole, whole, prose(rng, 80), None, prose(rng, 60)]
+    rows = [(i if i in (1, 2, 10) else None, t) for i, t in enumerate(texts)]
+    done = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(d if d in (1, 2, 10) else -1, *more) for d, *more in removed(texts, 35)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in done) == sorted(expected)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).collect() == []
 

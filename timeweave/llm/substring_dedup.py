@@ -23,14 +23,15 @@ repeated window covers is removed.
 
 Nothing is capped.  Words are told apart by 64-bit hashes.  Defined results: a null text has no
 words; ids are taken to be unique, rows that repeat an id count as further occurrences and share
-their removals.
+their removals.  Rows with a null id are documents of their own, known by a 64-bit hash of their text:
+they count as occurrences, lose their repeated words and keep the null id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.filters import IdFilter
@@ -47,6 +48,11 @@ CROWDED = 4_096
 SPREAD = 64
 
 
+def row_key() -> Column:
+    """The id of a row, or a hash of its text if it has none: never null."""
+    return F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(6)))
+
+
 def stretches(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, windows, minimiser) of all stretches of a slice of texts.
 
@@ -215,8 +221,8 @@ def sequence_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> n
 
 
 def minimisers(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Of each stretch some of doc_id, place (its first word), m (its minimiser) and id (hash of its words)."""
-    kinds = {"doc_id": "long", "place": "int", "m": "long", "id": "long"}
+    """Of each stretch some of key (``row_key``), nameless (a row without an id), place (its first word), m (its minimiser) and id (hash of its words)."""
+    kinds = {"key": "long", "nameless": "boolean", "place": "int", "m": "long", "id": "long"}
 
     def find(batches):
         for batch in slices(batches):
@@ -226,29 +232,32 @@ def minimisers(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
             text, first, n, m = stretches(words, at)
             made = {"m": pa.array(m.view(np.int64))}
             if "id" in columns:
-                made |= {"doc_id": batch.column("doc_id").take(pa.array(text)), "place": pa.array((first - at[text]).astype(np.int32)),
+                made |= {"key": batch.column("key").take(pa.array(text)), "nameless": batch.column("nameless").take(pa.array(text)), "place": pa.array((first - at[text]).astype(np.int32)),
                          "id": pa.array(sequence_hashes(words, first, n + WINDOW - 1).view(np.int64))}
             yield pa.RecordBatch.from_arrays([made[c] for c in columns], names=list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(find, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return docs.select(row_key().alias("key"), F.col("doc_id").isNull().alias("nameless"), "text").mapInArrow(find, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def shared_stretches(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, m, id) of every stretch whose minimiser occurs more than once."""
+    """(key, nameless, place, m, id) of every stretch whose minimiser occurs more than once."""
     # Written, so that the join reads both sides from exchanges of their own and a hot minimiser can be split.
     often = cut_lineage(minimisers(docs, ("m",)).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("m"))
-    return minimisers(docs, ("doc_id", "place", "m", "id")).join(often, "m")
+    return minimisers(docs, ("key", "nameless", "place", "m", "id")).join(often, "m")
 
 
 def read_words(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
-    """The words of the ``wanted`` (doc_id, place, m, id, n) stretches, or of each of their windows.
+    """The words of the ``wanted`` (key, place, m, id, n) stretches, or of each of their windows.
 
     Whole stretches: (m, id, part, words, n).  Windows: (m, id, i, window, part, words, n), ``i`` the place
     in the stretch and ``window`` the hash of the words, by which they are dealt to parts.
     """
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "m", "id", "n")).alias("wanted"))
+    places = wanted.groupBy("key").agg(F.collect_list(F.struct("place", "m", "id", "n")).alias("wanted"))
     places = cut_lineage(places)
-    marked = IdFilter(places, "doc_id").rows(docs.select("doc_id", "text"), "doc_id", inside=True).join(places, "doc_id")
+    held = IdFilter(places, "key").rows(docs.select(row_key().alias("key"), F.col("doc_id").isNull().alias("nameless"), "text"), "key", inside=True)
+    # Equal texts without an id have one key and are read once.
+    once = held.filter("nameless").groupBy("key").agg(F.first("text").alias("text"))
+    marked = held.filter("NOT nameless").select("key", "text").unionByName(once).join(places, "key")
 
     def cut(batches):
         for batch in slices(batches):
@@ -325,11 +334,11 @@ def matching(shards: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, ranges): from where to where repeated windows begin in each document that has any."""
+    """(key, ranges): from where to where repeated windows begin in each document that has any."""
     occurrences = cut_lineage(shared_stretches(docs))
     distinct = cut_lineage(
-        occurrences.groupBy("m", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("at"))
-        .select("m", "id", "n", "at.doc_id", "at.place"))
+        occurrences.groupBy("m", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("nameless", "key", "place")).alias("at"))
+        .select("m", "id", "n", "at.key", "at.place"))
     crowds = cut_lineage(distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > CROWDED).select("m"))
     if crowds.isEmpty():
         hits = matching(read_words(docs, distinct, single=False))
@@ -341,8 +350,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         begin = F.sort_array(F.collect_set("i"))
         hits = whole.unionByName(
             windows.join(found, ["m", "window"]).groupBy("m", "id").agg(F.flatten(F.transform(begin, lambda i: F.array(i, i + 1))).alias("ranges")))
-    located = occurrences.join(hits, ["m", "id"]).select("doc_id", F.transform("ranges", lambda x: x + F.col("place")).alias("ranges"))
-    return located.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    located = occurrences.join(hits, ["m", "id"]).select("key", F.transform("ranges", lambda x: x + F.col("place")).alias("ranges"))
+    # A set, so that rows with one key don't lengthen it.
+    return located.groupBy("key").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -350,9 +360,10 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.col(text).alias("text"))
     places = cut_lineage(repeated_ranges(docs))
     # Texts that lose nothing are not shuffled.
-    changed = IdFilter(places, "doc_id")
-    marked = changed.rows(docs, "doc_id", inside=True).join(places, "doc_id", "left").select("doc_id", "text", "ranges").unionByName(
-        changed.rows(docs, "doc_id", inside=False).withColumn("ranges", F.lit(None).cast("array<int>")))
+    changed = IdFilter(places, "key")
+    keyed = docs.withColumn("key", row_key())
+    marked = changed.rows(keyed, "key", inside=True).join(places, "key", "left").select("doc_id", "text", "ranges").unionByName(
+        changed.rows(keyed, "key", inside=False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("ranges")))
 
     def strip(batches):
         for batch in slices(batches):

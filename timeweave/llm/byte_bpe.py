@@ -38,9 +38,10 @@ from timeweave.llm.registry import query
 from timeweave.llm.tables import read
 from timeweave.llm.words import slices
 
-MOST_STATES = 1 << 18
+MOST_STATES = 3 << 17
 REMEMBERED = 1 << 19
 SHORT = 64
+MOST_UNFINISHED = 1 << 12
 LONG_TEXT = 1 << 20
 MATCHES = 1 << 16
 START, ROOT, NONE, NEVER = -1, 0, -1, 1 << 32
@@ -71,21 +72,23 @@ class Transducer:
         self.inner = bytearray(len(self.token_at))
         for key in self.child:
             self.inner[key >> 8] = 1
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
         self.states: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
+        self.numbers: dict[tuple[int, tuple], int] = {}
         self.moves: dict[int, tuple[int, bytes]] = {}
-        self.number((START, (((), ROOT),)))
+        self.number(START, (((), ROOT),))
 
-    def number(self, state: tuple) -> int:
-        at = self.numbers.get(state)
+    def number(self, last: int, threads: tuple) -> int:
+        """The number of a state; the last emitted token and the uncertain ones after it tell all of it."""
+        key = last, threads[-1][0]
+        at = self.numbers.get(key)
         if at is None:
-            at = self.numbers[state] = len(self.states)
-            self.states.append(state)
+            at = self.numbers[key] = len(self.states)
+            self.states.append((last, threads))
         return at
 
     def merged(self, data: bytes, below: float) -> list[int]:
@@ -122,7 +125,7 @@ class Transducer:
         Each side merges as it would alone until the two symbols that meet at the edge merge first; of
         equal merges the leftmost comes first.
         """
-        key = before, token
+        key = before << 20 | token
         answer = self.known.get(key)
         if answer is None:
             right = self.spine(token, 0)
@@ -149,43 +152,58 @@ class Transducer:
     def move(self, at: int, byte: int) -> tuple[int, bytes]:
         """The state after one more byte and the packed tokens that are certain then; the transition is kept."""
         last, threads = self.states[at]
-        child, token_at, inner = self.child, self.token_at, self.inner
+        get, token_at, inner, known = self.child.get, self.token_at, self.inner, self.known
         open_, ended = [], None
-        for chain, node in threads:
-            node = child.get(node << 8 | byte)
+        for thread in threads:
+            chain, node = thread
+            node = get(node << 8 | byte)
             if node is None:
                 continue
-            token = token_at[node]
-            if ended is None and token != NONE and self.fits(chain[-1] if chain else last, token):
-                ended = (*chain, token)
-            # A thread that can end here only is needed for this byte alone; a first token also for the end of the match.
-            if inner[node] or last == START and not chain:
+            if ended is None and (token := token_at[node]) != NONE:
+                before = chain[-1] if chain else last
+                answer = known.get(before << 20 | token)
+                if self.fits(before, token) if answer is None else answer:
+                    ended = (*chain, token)
+            if inner[node]:
                 open_.append((chain, node))
-        open_.append((ended, ROOT))
         certain = len(ended)
-        for chain, _ in open_[:-1]:
-            certain = min(certain, len(chain))
+        for chain, _ in open_:
+            if len(chain) < certain:
+                certain = len(chain)
             while chain[:certain] != ended[:certain]:
                 certain -= 1
-        state = (ended[certain - 1] if certain else last, tuple((chain[certain:], node) for chain, node in open_))
-        if len(self.states) >= MOST_STATES:
-            self.forget()
-            return self.number(state), pack(ended[:certain])
-        hit = self.moves[at << 8 | byte] = (self.number(state), pack(ended[:certain]))
+        packed = b""
+        if certain:
+            packed, last, ended = pack(ended[:certain]), ended[certain - 1], ended[certain:]
+            open_ = [(chain[certain:], node) for chain, node in open_]
+        to = self.numbers.get((last, ended))
+        if to is None:
+            open_.append((ended, ROOT))
+            if len(self.states) >= MOST_STATES:
+                self.forget()
+                return self.number(last, tuple(open_)), packed
+            to = self.number(last, tuple(open_))
+        hit = self.moves[at << 8 | byte] = (to, packed)
         return hit
 
-    def rest(self, at: int) -> bytes:
-        """The tokens still owed if the input ends in this state."""
+    def finish(self, at: int, byte: int) -> bytes:
+        """The packed tokens still owed when the input ends with this byte; no state is made for that."""
         last, threads = self.states[at]
-        chain, node = threads[0]
-        if last == START and not chain and self.token_at[node] != NONE:
-            return pack((self.token_at[node],))  # the whole match is one token
-        return pack(threads[-1][0])
+        for chain, node in threads:
+            token = self.token_at[self.child.get(node << 8 | byte, ROOT)]
+            if token != NONE:
+                if last == START and not chain:
+                    return pack((token,))  # the whole match is one token
+                if self.fits(chain[-1] if chain else last, token):
+                    return pack((*chain, token))
+        raise AssertionError("every byte is a token")
 
     def encode(self, data: bytes) -> bytes:
         """Packed tokens of one match of the splitting pattern."""
+        if not data:
+            return b""
         moves, at, out = self.moves, 0, []
-        for byte in data:
+        for byte in data[:-1]:
             hit = moves.get(at << 8 | byte)
             if hit is None:
                 hit = self.move(at, byte)
@@ -193,7 +211,7 @@ class Transducer:
             at = hit[0]
             if hit[1]:
                 out.append(hit[1])
-        out.append(self.rest(at))
+        out.append(self.finish(at, data[-1]))
         return b"".join(out)
 
 
@@ -221,32 +239,46 @@ def step(pending: bytes, byte: int) -> tuple[str, bytes]:
     return chr(point), b""
 
 
+class Unfinished(dict):
+    """What tokens do while a code point is unfinished: their text, and the state they leave."""
+
+    def __init__(self, pending: bytes):
+        super().__init__()
+        self.pending = pending
+
+
 class StreamDecoder:
     """Text from tokens as they come; ``feed`` returns what is complete, ``close`` what is left."""
 
-    def __init__(self, bytes_of: dict[int, bytes], kept: dict | None = None):
-        self.bytes_of, self.pending = bytes_of, b""
-        self.kept: dict[tuple[bytes, int], tuple[str, bytes]] = {} if kept is None else kept
+    def __init__(self, bytes_of: dict[int, bytes], states: dict[bytes, Unfinished] | None = None):
+        self.bytes_of = bytes_of
+        self.states = {} if states is None else states
+        self.at = self.state(b"")
+
+    def state(self, pending: bytes) -> Unfinished:
+        if pending not in self.states:
+            if len(self.states) >= MOST_UNFINISHED:
+                self.states.clear()
+            self.states[pending] = Unfinished(pending)
+        return self.states[pending]
 
     def feed(self, ids) -> str:
-        kept, pending, out = self.kept, self.pending, []
+        at, out = self.at, []
         for i in ids:
-            hit = kept.get((pending, i))
+            hit = at.get(i)
             if hit is None:
-                text, left = "", pending
+                text, left = "", at.pending
                 for byte in self.bytes_of[i]:
                     more, left = step(left, byte)
                     text += more
-                if len(kept) >= 1 << 18:
-                    kept.clear()
-                hit = kept[pending, i] = (text, left)
+                hit = at[i] = (text, self.state(left))
             out.append(hit[0])
-            pending = hit[1]
-        self.pending = pending
+            at = hit[1]
+        self.at = at
         return "".join(out)
 
     def close(self) -> str:
-        left, self.pending = self.pending, b""
+        left, self.at = self.at.pending, self.state(b"")
         return BAD if left else ""
 
 
@@ -274,7 +306,7 @@ class Codec:
         self.machine = Transducer({base64.b64decode(token): int(rank) for token, rank in pairs})
         self.split = regex.compile(pattern)
         self.matches = Matches(self.machine)
-        self.kept: dict = {}
+        self.unfinished: dict[bytes, Unfinished] = {}
 
     def encode(self, text: str | None) -> bytes:
         get = self.matches.__getitem__
@@ -288,7 +320,7 @@ class Codec:
         return b"".join(out)
 
     def decode(self, packed: bytes | None) -> str:
-        stream = StreamDecoder(self.machine.bytes_of, self.kept)
+        stream = StreamDecoder(self.machine.bytes_of, self.unfinished)
         return stream.feed(memoryview(packed or b"").cast("I")) + stream.close()
 
 

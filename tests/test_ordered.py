@@ -173,25 +173,76 @@ def test_chunk_plan_blocks_agree(spark):
     assert small == large and [r[4] for r in small] == cuts
 
 
-def test_cursor_match_crosses_blocks(spark, monkeypatch):
+def serial_cursor(left, right, reach, score, threshold=None, left_after=None, last_wins=False):
+    """The rule row by row: (rank, ord) pairs."""
+    found, cursor = [], 0
+    for i, v in enumerate(left):
+        if cursor >= len(right):
+            break
+        options = range(cursor, min(len(right), cursor + reach))
+        best = max(options, key=lambda j: (score(v, right[j]), j if last_wins else -j))
+        if left_after is not None and len(right) - cursor == left_after[i]:
+            best = cursor
+        elif threshold is not None and score(v, right[best]) < threshold:
+            continue
+        found.append((i, best))
+        cursor = best + 1
+    return found
+
+
+@pytest.mark.parametrize("rule", ["threshold", "always", "forced", "last wins"])
+def test_cursor_match_crosses_blocks(spark, monkeypatch, rule):
+    from timeweave import transfers
     from timeweave.operators import mapping
 
+    for name, value in (("PIECE", 4), ("FAN", 3)):
+        monkeypatch.setattr(transfers, name, value)
+    monkeypatch.setattr(mapping, "BLOCK_LEFT", 4)
     rng = random.Random(12)
-    left = [(0, i, rng.randint(0, 30)) for i in range(40)]
-    right = [(0, j, rng.randint(0, 30)) for j in range(60)]
+    data = {}
+    for g, shape in enumerate(["even", "drifting", "jump", "few right", "ties", "short"]):
+        spread = 3 if shape == "ties" else 30
+        left = [rng.randint(0, spread) for _ in range(3 if shape == "short" else 90)]
+        right = {"drifting": [w for v in left for w in (rng.randint(0, spread), v)], "jump": left[:20] + [99] * 150 + left[20:],
+                 "few right": left[:30], "ties": [rng.randint(0, spread) for _ in left]}.get(shape, left)
+        data[g] = left, right, [len(left) - i for i in range(len(left))]
+    rows = lambda side: [(g, i, v, n[i] if side == 0 else 0) for g, (*sides, n) in data.items() for i, v in enumerate(sides[side])]
+    left = spark.createDataFrame(rows(0), "g long, rank long, v long, left_after long")
+    right = spark.createDataFrame(rows(1), "g long, ord long, v long, x long").drop("x")
     score = lambda a, b: 1 - F.abs(a["v"] - b["v"]) / 30.0
-    l, r = spark.createDataFrame(left, "g long, rank long, v long"), spark.createDataFrame(right, "g long, ord long, v long")
-    monkeypatch.setattr(mapping, "BLOCK_LEFT", 4)
-    got = [tuple(x) for x in cursor_match(l, r, 3, score, 0.6, group="g").orderBy("rank").select("rank", "ord").collect()]
-    want, cursor = [], 0
-    for _, i, v in left:
-        best = max(range(cursor, min(60, cursor + 3)), key=lambda j: 1 - abs(v - right[j][2]) / 30.0, default=None)
-        if best is not None and 1 - abs(v - right[best][2]) / 30.0 >= 0.6:
-            want.append((i, best))
-            cursor = best + 1
+    options = {"threshold": {"threshold": 0.6}, "always": {}, "forced": {"forced": True}, "last wins": {"last_wins": True}}[rule]
+    got = sorted((r.g, r.rank, r.ord) for r in cursor_match(left, right, 3, score, group="g", **options).collect())
+    want = []
+    for g, (a, b, n) in data.items():
+        found = serial_cursor(a, b, 3, lambda x, y: 1 - abs(x - y) / 30.0, options.get("threshold"), n if rule == "forced" else None, rule == "last wins")
+        want += [(g, i, j) for i, j in found]
     assert got == want
 
 
+@pytest.mark.parametrize("n", [100, 1000])
+def test_transfer_maps_settle_in_few_rounds(spark, n):
+    """Blocks whose exits follow from their entries by a rule with drift and jumps."""
+    from timeweave import transfers
+
+    last = 12 * n
+    move = lambda block, entry: min(last + 1, entry + 3 + (7 * block + entry // 5) % 4 + (40 if block % 97 == 50 else 0))
+    blocks = spark.range(n).select(F.lit(0).cast("long").alias("g"), F.col("id").alias("__block"))
+    sizes = spark.createDataFrame([(0, n, last)], "g long, blocks long, last long")
+
+    def maps(asked):
+        first = F.col("piece") * transfers.PIECE
+        step = lambda e: F.least(F.lit(last + 1), e + 3 + (F.col("__block") * 7 + F.floor(e / 5)) % 4 + F.when(F.col("__block") % 97 == 50, 40).otherwise(0)).cast("long")
+        return asked.withColumn("exits", F.transform(F.sequence(first, first + transfers.PIECE - 1), step))
+
+    found, rounds = transfers.entries(blocks, sizes, "g", 43, maps)
+    want, entry = [], 0
+    for block in range(n):
+        want.append((block, entry))
+        entry = move(block, entry)
+    assert sorted((r["__block"], r.entry) for r in found.collect()) == want
+    assert rounds < 10
+
+
 def test_monotone_match_never_crosses(spark, blocks):
     rng = random.Random(13)
     words = [f"w{rng.randint(0, 25)}" if rng.random() < 0.4 else f"unique{i}" for i in range(60)]

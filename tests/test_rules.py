@@ -1,5 +1,7 @@
 """Literal cases of the timeline rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,8 +392,54 @@ def test_edited_and_short_passages_are_located(spark):
     items = spark.createDataFrame([(1, " ".join(words)), (2, "zeta eta"), (3, "solo")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "before " * 9 + " ".join(edited) + " after" * 9), (11, "a zeta eta b"), (12, " ".join(longer)), (13, "only solo here"), (14, "nothing")],
                                  "doc_id long, text string")
-    found = {(r.item_id, r.doc_id): (r.start_unit, r.method) for r in location.locate_passages(items, docs).collect()}
-    assert found == {(1, 10): (9, "fuzzy"), (1, 12): (0, "fuzzy"), (2, 11): (1, "exact"), (3, 13): (1, "exact")}
+    found = {(r.item_id, r.doc_id): (r.start_char, r.method) for r in location.locate_passages(items, docs).collect()}
+    assert found == {(1, 10): (54, "fuzzy"), (1, 12): (0, "fuzzy"), (2, 11): (1, "exact"), (3, 13): (4, "exact")}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_passages_match_brute_force(spark):
+    """Inserted, lost and changed characters; repeats, many places in one document, ties, odd rows."""
+    from timeweave.operators import location
+
+    rng = random.Random(21)
+    letters = lambda n, kinds="abcdefgh": "".join(rng.choice(kinds) for _ in range(n))
+    items = {i: letters(rng.choice([1, 3, 7, 8, 9, 12, 19, 20, 26, 40])) for i in range(14)} | {50: "ab" * 12, 51: "é日本語ñandú" * 2, 52: "a"}
+    docs = {}
+    for d in range(24):
+        text = letters(rng.randrange(30))
+        for _ in range(rng.randrange(4)):
+            part = list(rng.choice(list(items.values())))
+            for _ in range(rng.randrange(1 + len(part) // 7)):
+                at = rng.randrange(len(part))
+                part[at:at + 1] = rng.choice([[], ["x"], [part[at], "y"]])
+            text += "".join(part) + letters(rng.randrange(12))
+        docs[d] = text
+    docs |= {60: "ab" * 40, 61: "", 62: "a", 63: items[3]}
+    want = {}
+    for i, target in items.items():
+        m = len(target)
+        for d, text in docs.items():
+            windows = [(distance(target, text[s:e]), s - e, s) for s in range(len(text)) for e in range(max(s + 1, s + m - m // 6 - 3), min(len(text), s + m + m // 6 + 3) + 1)]
+            if windows:
+                errors, length, start = min(windows)
+                score = 1 - errors / max(m, -length)
+                if score >= (0.90 if m < 20 else 0.88) - 1e-12:
+                    want[i, d] = (start, start - length, round(score, 9))
+    p = spark.createDataFrame([*items.items(), (90, None), (91, "!?"), (3, items[3])], "item_id long, text string")
+    t = spark.createDataFrame([*docs.items(), (92, None)], "doc_id long, text string")
+    found = {(r.item_id, r.doc_id): (r.start_char, r.end_char, round(r.score, 9)) for r in location.locate_passages(p, t).collect()}
+    assert found == want and sum(score < 1 for *_, score in want.values()) > 10
+    assert location.locate_passages(p.limit(0), t).collect() == [] and location.locate_passages(p, t.limit(0)).collect() == []
+    exact = {(r.item_id, r.doc_id): r.offset for r in edits.page_hits(p, t).collect()}
+    assert exact == {(i, d): text.find(target) for i, target in items.items() for d, text in docs.items() if target in text}
 
 
 def test_full_compatibility_folding(spark):

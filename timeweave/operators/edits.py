@@ -15,7 +15,7 @@ def restore_chapters(fragments: DataFrame, anchors: DataFrame) -> DataFrame:
     """Re-split the source fragments and give every sentence the times of the anchors that
     touch its characters (C11)."""
     pieces = fragments.select("chapter_id", F.col("position").alias("fragment_position"), "source_start_char",
-                              F.posexplode(split_sentences(F.col("text"))).alias("n", "s"))
+                              F.posexplode_outer(split_sentences(F.col("text"))).alias("n", "s")).filter(F.col("n").isNotNull())
     pieces = pieces.select("chapter_id", "fragment_position", "n", F.col("s.text").alias("text"),
                            (F.col("source_start_char") + F.col("s.start_char")).alias("p_start"),
                            (F.col("source_start_char") + F.col("s.end_char")).alias("p_end"))
@@ -223,15 +223,14 @@ def heading_rows(segments: DataFrame, chapters: DataFrame) -> DataFrame:
         normalize_title(F.col("text")) == F.col("__t")).drop("__t")
 
 
-def page_hits(segments: DataFrame, page_units: DataFrame, cue_units: DataFrame) -> DataFrame:
-    """Where the units of a cue occur in any page of its book.
+def page_hits(cues: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where the text of a cue first occurs in each page, in characters of the normalised page.
 
-    A whole-text ``locate`` over all pairs is a cross join; the units' grams find the same
-    places through an equi join.
+    ``cues(item_id, text)``, ``pages(doc_id, text)``.
     """
     from timeweave.operators.location import locate_passages
 
-    return locate_passages(cue_units, page_units, minimum=1.0, short=1.0)
+    return locate_passages(cues, pages, minimum=1.0, short=1.0).select("item_id", "doc_id", F.col("start_char").alias("offset"))
 
 
 def backfill_fragments(segments: DataFrame, missing: DataFrame) -> DataFrame:

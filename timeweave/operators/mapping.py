@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from timeweave import transfers
 from timeweave.functions.text import empty_array, let, normalize_for_match, normalize_title
 from timeweave.functions.titles import chapter_number, generic_marker_number, is_body, similarity
-from timeweave.ordered import BLOCK, Agg, Seq, finish, number_rows, prepare, prev, scan, settle
+from timeweave.ordered import BLOCK, Agg, Seq, finish, number_rows, prepare, prev, scan
 from timeweave.session import cut_lineage
 
 BOOK = Seq(("book_id",), ("position",))
 BLOCK_LEFT = 128
+OFFSETS = 1024
 
 
 def slices(assets: DataFrame, markers: DataFrame) -> DataFrame:
@@ -60,16 +65,16 @@ def match_score(left: Column, right: Column) -> Column:
 
 def cursor_match(
     left: DataFrame, right: DataFrame, lookahead: int, score: Callable[[Column, Column], Column],
-    threshold: float | None = None, group: str = "book_id", forced: bool = False,
+    threshold: float | None = None, group: str = "book_id", forced: bool = False, last_wins: bool = False,
 ) -> DataFrame:
     """Greedy monotone assignment with a bounded look-ahead.
 
     Row by row of ``left(group, rank, …)`` the best of the next ``lookahead`` rows of
-    ``right(group, ord, …)`` is taken, first wins, and the cursor moves past it.  Ranks
-    and ords are dense from 0.  ``left`` is cut into blocks of 128 rows; a block can only
-    reach ``lookahead × 128`` right rows beyond its entry cursor, so it loads at most two
-    right chunks.  Entry cursors are settled by the block fixed point.  With ``forced``
-    the cursor's own row is taken when as many right rows are left as ``left_after``.
+    ``right(group, ord, …)`` is taken, of equal ones the first (or, with ``last_wins``, the last), and the
+    cursor moves past it.  Ranks and ords are dense from 0.  ``left`` is cut into blocks of 128 rows; the
+    cursors before all blocks come from their composed transfer maps (``transfers.entries``).  A block
+    can only reach ``lookahead × 128`` right rows beyond its entry, so it loads two or three right chunks.
+    With ``forced`` the cursor's own row is taken when as many right rows are left as ``left_after``.
     Output: ``(group, rank, ord, score)``.
     """
     reach = lookahead * BLOCK_LEFT
@@ -79,27 +84,61 @@ def cursor_match(
         F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("rows"))
     chunks = right.groupBy(group, F.floor(F.col("ord") / reach).alias("__chunk")).agg(
         F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("__slice"))
-    size = right.groupBy(group).agg(F.max("ord").alias("__last"))
-    # ord -1 marks "nothing chosen"
+    size = right.groupBy(group).agg(F.max("ord").cast("long").alias("__last"))
 
-    def choose(cursor: Column, row: Column) -> Column:
-        options = F.transform(F.slice(F.col("__near"), (cursor - F.col("__base") + 1).cast("int"), lookahead),
-                              lambda r: F.struct(score(row, r).alias("s"), (-r["ord"]).alias("o")))
+    def after(cursor: Column, row: Column, options: Column) -> Column:
+        """(ord, score) taken at a cursor among its scored options; ord -1 marks "nothing"."""
         def picked(best: Column) -> Column:
             good = best["s"] >= threshold if threshold is not None else best.isNotNull()
-            choice = F.when(good, F.struct((-best["o"]).cast("long").alias("ord"), best["s"].alias("score"))).otherwise(
+            choice = F.when(good, F.struct(F.abs(best["o"]).cast("long").alias("ord"), best["s"].alias("score"))).otherwise(
                 F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(0.0).alias("score")))
             if not forced:
                 return choice
-            own = F.get(F.col("__near"), (cursor - F.col("__base")).cast("int"))
-            exact = (F.col("__last") + 1 - cursor == row["left_after"]) & own.isNotNull()
-            return F.when(exact, F.struct(own["ord"].cast("long").alias("ord"), score(row, own).alias("score"))).otherwise(choice)
+            exact = (F.col("__last") + 1 - cursor == row["left_after"]) & (F.size(options) > 0)
+            return F.when(exact, F.struct(cursor.cast("long").alias("ord"), F.get(options, 0)["s"].alias("score"))).otherwise(choice)
 
         return let(F.array_max(options), picked)
 
+    def scored(row: Column, start: Column, n: Column) -> Column:
+        """The rows from ``start`` on with their scores."""
+        sign = 1 if last_wins else -1
+        return F.transform(F.slice(F.col("__near"), (start - F.col("__base") + 1).cast("int"), n.cast("int")),
+                           lambda r: F.struct(score(row, r).alias("s"), (r["ord"] * sign).alias("o")))
+
+    def load(waiting: DataFrame, entry: Column, n_chunks: int) -> DataFrame:
+        """The left rows of the waiting blocks and the right rows they can reach.
+
+        The number of partitions is given, as the planner would put rows that are few but dear into one task.
+        """
+        spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = waiting.columns
+        wanted = waiting.withColumn("__c", F.floor(entry / reach)).withColumn("__chunk", F.explode(F.sequence(F.col("__c"), F.col("__c") + (n_chunks - 1))))
+        near = wanted.join(chunks, [group, "__chunk"], "left").groupBy(*keys, "__c").agg(
+            F.array_sort(F.flatten(F.collect_list(F.coalesce("__slice", F.array().cast(chunks.schema["__slice"].dataType))))).alias("__near"))
+        loaded = near.join(packed, [group, BLOCK]).join(size, group, "left").repartition(spread, *keys)
+        return loaded.withColumn("__last", F.coalesce("__last", F.lit(-1).cast("long"))).withColumn("__base", F.col("__c") * reach)
+
+    def maps(asked: DataFrame) -> DataFrame:
+        first = F.col("piece") * transfers.PIECE
+
+        def advance(cursors: Column, row: Column) -> Column:
+            # Neighbouring cursors see nearly the same rows: each is scored once for all.
+            low, high = F.array_min(cursors), F.array_max(cursors)
+            def move(options: Column) -> Column:
+                def one(cursor: Column) -> Column:
+                    own = F.slice(options, (cursor - low + 1).cast("int"), lookahead)
+                    return F.when(cursor > F.col("__last"), cursor).otherwise(
+                        let(after(cursor, row, own), lambda p: F.when(p["ord"] >= 0, p["ord"] + 1).otherwise(cursor)))
+                return F.transform(cursors, one)
+            return let(scored(row, low, high - low + lookahead), move)
+
+        every = F.transform(F.sequence(first, first + (transfers.PIECE - 1)), lambda c: c.cast("long"))
+        done = load(asked, first, 3).withColumn("exits", F.aggregate("rows", every, advance))
+        return done.select(group, BLOCK, "piece", "exits")
+
     result = "struct<rank:bigint,ord:bigint,score:double>"
 
-    def advance(acc: Column, row: Column) -> Column:
+    def emit(acc: Column, row: Column) -> Column:
         def take(p: Column) -> Column:
             return F.struct(
                 F.when(p["ord"] >= 0, p["ord"] + 1).otherwise(acc["cursor"]).alias("cursor"),
@@ -107,23 +146,21 @@ def cursor_match(
                     row["rank"].cast("long").alias("rank"), p["ord"].alias("ord"), p["score"].alias("score"),
                 )))).otherwise(acc["out"]).alias("out"),
             )
-        return F.when(acc["cursor"] > F.col("__last"), acc).otherwise(let(choose(acc["cursor"], row), take))
-
-    def run(waiting: DataFrame) -> DataFrame:
-        first = F.floor(F.col("entry") / reach)
-        wanted = waiting.withColumn("__chunk", F.explode(F.array(first, first + 1)))
-        loaded = wanted.join(chunks, [group, "__chunk"], "left").groupBy(group, BLOCK).agg(
-            F.first("entry").alias("entry"), F.first("rows").alias("rows"), F.first(first).alias("__c"),
-            F.array_sort(F.flatten(F.collect_list(F.coalesce("__slice", F.array().cast(chunks.schema["__slice"].dataType))))).alias("__near"),
-        ).join(size, group, "left").withColumn("__last", F.coalesce("__last", F.lit(-1))).withColumn("__base", F.col("__c") * reach)
-        start = F.struct(F.col("entry").cast("long").alias("cursor"), empty_array(result).alias("out"))
-        return loaded.withColumn("__done", F.aggregate("rows", start, advance)).withColumn("exit", F.col("__done.cursor"))
-
-    seq = Seq((group,), (BLOCK,), prepared=True, width=float(BLOCK_LEFT))
-    zero = F.lit(0).cast("long")
-    several = not left.filter(F.col("rank") >= BLOCK_LEFT).isEmpty()
-    entered = settle(cut_lineage(packed), seq, zero, run) if several else packed.withColumn("entry", zero)
-    return run(entered).select(group, F.explode("__done.out").alias("m")).select(group, "m.*")
+        options = scored(row, acc["cursor"], F.lit(lookahead))
+        return F.when(acc["cursor"] > F.col("__last"), acc).otherwise(let(after(acc["cursor"], row, options), take))
+
+    packed = cut_lineage(packed)
+    held = packed.select(group, F.col(BLOCK).cast("long").alias(BLOCK))
+    sizes = cut_lineage(held.groupBy(group).agg(F.count(F.lit(1)).alias("blocks")).join(size, group, "left").select(group, "blocks", F.coalesce("__last", F.lit(-1).cast("long")).alias("last")))
+    entered = held.withColumn("entry", F.lit(0).cast("long"))
+    long = sizes.filter("blocks > 1")
+    if not long.isEmpty():
+        chunks = cut_lineage(chunks)
+        settled, _ = transfers.entries(held.join(long, group, "left_semi"), long, group, reach, maps)
+        entered = settled.unionByName(entered.join(long, group, "left_anti"))
+    start = F.struct(F.col("entry").alias("cursor"), empty_array(result).alias("out"))
+    done = load(entered, F.col("entry"), 2).withColumn("__done", F.aggregate("rows", start, emit))
+    return done.select(group, F.explode_outer("__done.out").alias("m")).filter(F.col("m").isNotNull()).select(group, "m.*")
 
 
 def numbered_run(chapters: DataFrame, group: str = "book_id", minimum: int = 4) -> DataFrame:
@@ -142,17 +179,58 @@ def numbered_run(chapters: DataFrame, group: str = "book_id", minimum: int = 4)
     return best.filter(F.col("b.length") >= minimum).select(group, (-F.col("b.f")).alias("first"), F.col("b.length").alias("length"))
 
 
+def least_dispersion(lengths: np.ndarray, durations: np.ndarray, fits: np.ndarray, worst: float) -> tuple[float, int] | None:
+    """(dispersion, offset) of the steadiest fit of ``lengths`` on ``durations``, the first of equal ones.
+
+    The dispersion is the mean distance of the log rates from their median's logarithm.  Of equal parts of the run the means
+    alone give a lower bound (distances from a point average to at least the distance of the average),
+    from prefix sums without touching the rates.  Offsets are tried by their bounds, with more and more
+    parts, and left out as soon as a bound exceeds the best dispersion so far.
+    """
+    n = len(lengths)
+    log_length, log_duration = np.log(lengths), np.log(np.where(durations > 0, durations, 1))
+    offsets = np.flatnonzero(fits)
+    sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (log_length, log_duration)]
+    bounds = np.zeros(len(offsets))
+    for parts in (8, 64):
+        size = n // parts
+        if not size:
+            break
+        cuts = np.arange(parts + 1) * size
+        of_text = np.diff(sums[0][cuts])
+        kept = np.flatnonzero(bounds <= worst)
+        for some in np.array_split(kept, -(-len(kept) // 4096) or 1):
+            means = (np.diff(sums[1][offsets[some][:, None] + cuts], axis=1) - of_text) / size
+            bounds[some] = np.maximum(bounds[some], np.abs(means - np.median(means, axis=1)[:, None]).sum(axis=1) * size / n)
+        best = None
+        for at in np.argsort(bounds, kind="stable"):
+            if bounds[at] > (best[0] if best else worst) + 1e-9:
+                break
+            rates = durations[offsets[at]:offsets[at] + n] / lengths
+            own = float(np.abs(np.log(rates / np.median(rates))).mean()), int(offsets[at])
+            best = own if own[0] <= worst and (best is None or own < best) else best
+            if parts == 8 and best:  # one good offset is enough to sharpen the bounds of all others
+                worst = min(worst, best[0])
+                break
+    else:
+        return best
+    exact = [(float(np.abs(np.log(r / np.median(r))).mean()), int(o)) for o in offsets for r in [durations[o:o + n] / lengths]]
+    return min((x for x in exact if x[0] <= worst), default=None)
+
+
 def sequence_assignment(chapters: DataFrame, choices: DataFrame, group: str = "book_id", worst: float = 0.32) -> DataFrame:
     """Slide the numbered chapter run along consecutive generic markers and keep the offset
     with the steadiest duration per character (C15).
 
     ``chapters(book_id, rank, number, text_length)``, ``choices(book_id, ord, title,
-    duration_ms)``.  Output ``(book_id, rank, ord, confidence)``.
+    duration_ms)``.  Output ``(book_id, rank, ord, confidence)``.  The offsets of a book are cut into
+    blocks at least as long as its run; a block gets the run and its own markers, so the rows
+    moved grow with the markers alone.  A task holds three times the length of one run.
     """
     run = numbered_run(chapters, group)
     text = chapters.join(run, group).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("length")))
-    text = text.select(group, "rank", "length", (F.col("rank") - F.col("first")).alias("i"), "text_length")
-    whole = text.groupBy(group).agg(F.min("text_length").alias("shortest")).filter("shortest > 0")
+    text = cut_lineage(text.select(group, "rank", F.col("length").cast("long").alias("length"), (F.col("rank") - F.col("first")).cast("long").alias("i"), F.col("text_length").cast("double").alias("text_length")))
+    whole = text.groupBy(group).agg(F.min("text_length").alias("shortest"), F.greatest(F.max("length"), F.lit(OFFSETS)).alias("__size"), F.max("length").alias("__n")).filter("shortest > 0")
     marks = choices.withColumn("__no", generic_marker_number(F.col("title"))).filter("__no is not null")
     # Islands where both the slice order and the marker ordinal step by one.
     marks = marks.withColumn("__diag", F.col("ord") - F.col("__no"))
@@ -160,16 +238,30 @@ def sequence_assignment(chapters: DataFrame, choices: DataFrame, group: str = "b
     marks = scan(marks, seq, {"__p": prev("ord", "__diag")})
     broken = F.col("__p").isNull() | (F.col("__p.ord") + 1 != F.col("ord")) | (F.col("__p.__diag") != F.col("__diag"))
     marks = finish(scan(marks.withColumn("__b", broken), seq, {"__island": Agg("sum", F.col("__b").cast("long"))}))
-    starts = marks.select(group, "__island", F.col("ord").alias("offset"))
-    pairs = text.join(whole, group).join(starts, group).withColumn("ord", F.col("offset") + F.col("i")).join(
-        marks.select(group, "__island", "ord", "duration_ms"), [group, "__island", "ord"]).withColumn(
-        "rate", F.col("duration_ms") / F.col("text_length"))
-    keys = [group, "offset"]
-    fit = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length"), F.min("rate").alias("low"),
-                                   F.percentile("rate", 0.5).alias("median")).filter("n = length and low > 0")
-    spread = pairs.join(fit.select(*keys, "median"), keys).groupBy(*keys).agg(
-        F.avg(F.abs(F.ln(F.col("rate") / F.col("median")))).alias("dispersion"))
-    best = spread.groupBy(group).agg(F.min(F.struct("dispersion", "offset")).alias("b")).filter(F.col("b.dispersion") <= worst)
+    here, before = F.floor(F.col("ord") / F.col("__size")), F.floor((F.col("ord") - F.col("__n") + 1) / F.col("__size"))
+    placed = cut_lineage(marks.join(whole, group).select(
+        group, F.explode(F.array_distinct(F.array(here, F.greatest(F.lit(0), before)))).alias("__part"), F.col("ord").cast("long").alias("at"),
+        "__island", F.col("duration_ms").cast("double").alias("value")))
+    copies = text.join(placed.select(group, "__part").distinct(), group).select(group, "__part", F.col("i").alias("at"), F.lit(-1).cast("long").alias("__island"), F.col("text_length").alias("value"))
+
+    def slide(part: pa.Table) -> pa.Table:
+        at, island, value = (part.column(name).to_numpy() for name in ("at", "__island", "value"))
+        order = np.lexsort((at, island >= 0))
+        at, island, value = at[order], island[order], value[order]
+        n = int((island < 0).sum())
+        lengths, at, island, durations = value[:n], at[n:], island[n:], value[n:]
+        best = None
+        if len(at) >= n:
+            # A window of a run's length fits where it stays in its island and has no empty marker.
+            empty = np.concatenate([[0], np.cumsum(durations <= 0)])
+            fits = (island[n - 1:] == island[:len(island) - n + 1]) & (at[n - 1:] - at[:len(at) - n + 1] == n - 1) & (empty[n:] == empty[:len(empty) - n])
+            best = least_dispersion(lengths, durations, fits, worst)
+        rows = [(best[0], int(at[best[1]]))] if best else []
+        return pa.table({group: part.column(group).slice(0, len(rows)), "dispersion": pa.array([r[0] for r in rows], pa.float64()), "offset": pa.array([r[1] for r in rows], pa.int64())})
+
+    shape = T.StructType([chapters.schema[group], T.StructField("dispersion", T.DoubleType()), T.StructField("offset", T.LongType())])
+    fitted = placed.select(group, "__part", "at", "__island", "value").unionByName(copies).groupBy(group, "__part").applyInArrow(slide, shape)
+    best = fitted.groupBy(group).agg(F.min(F.struct("dispersion", "offset")).alias("b"))
     confidence = F.greatest(F.lit(0.55), F.least(F.lit(0.98), F.exp(F.col("b.dispersion") * -3.0)))
     return text.join(best, group).select(group, "rank", (F.col("b.offset") + F.col("i")).alias("ord"), confidence.alias("confidence"))
 
@@ -197,7 +289,7 @@ def automatic_links(chapters: DataFrame, choices: DataFrame) -> DataFrame:
     head = cursor_match(
         left.filter("rank < r0").withColumn("rank", F.col("r0") - 1 - F.col("rank")).select(*plain),
         right.filter("ord < o0").withColumn("ord", F.col("o0") - 1 - F.col("ord")).select("book_id", "ord", "key", "number", "duration_ms"),
-        5, _mirror(match_score))
+        5, match_score, last_wins=True)
     back = head.join(ends, "book_id").select("book_id", (F.col("r0") - 1 - F.col("rank")).alias("rank"), (F.col("o0") - 1 - F.col("ord")).alias("ord"), "score")
     # Tail: the longest chapters that still fit, in document order.
     tail = left.filter("rank > r1").withColumn("available", F.greatest(F.lit(0), F.col("n_choices") - F.col("o1") - 1))
@@ -220,11 +312,6 @@ def automatic_links(chapters: DataFrame, choices: DataFrame) -> DataFrame:
                          F.col("end_ms").alias("source_end_ms"), F.when(F.col("__fixed"), F.greatest(own, F.col("score"))).otherwise(own).alias("confidence"))
 
 
-def _mirror(score: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
-    """Mirrored ords count backwards, so the first-wins tie must prefer the larger ord there."""
-    return lambda row, option: score(row, option) + option["ord"] * 1e-12
-
-
 def longest_in_order(rows: DataFrame, keep: str, group: str = "book_id") -> DataFrame:
     """The ``keep`` longest rows per group, returned in their order.
 

@@ -206,7 +206,7 @@ def plan_chunks(spans: DataFrame, silences: DataFrame, target_ms: int = 120_000,
     guess = F.col("from_ms") + F.col(BLOCK) * block_ms
     several = not blocks.filter(F.col(BLOCK) > 0).isEmpty()
     entered = settle(cut_lineage(packed), seq, guess, run) if several else packed.withColumn("entry", F.col("from_ms"))
-    cuts = run(entered).select("audio_id", F.explode("__done.cuts").alias("core_start_ms"))
+    cuts = run(entered).select("audio_id", F.explode_outer("__done.cuts").alias("core_start_ms")).filter(F.col("core_start_ms").isNotNull())
     starts = use.select("audio_id", F.col("from_ms").cast("long").alias("core_start_ms")).unionByName(cuts)
     starts, cseq = prepare(starts, Seq(("audio_id",), ("core_start_ms",)))
     rows = finish(scan(starts, cseq, {"position": Agg("sum", F.lit(1).cast("long"))},

@@ -32,7 +32,7 @@ def find_all(rows: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
         (acc["at"] + p["g"] + p["n"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start_char"), (acc["at"] + p["g"] + p["n"]).alias("end_char"),
                                               p["h"].alias("hit")))).alias("out")))["out"]
-    return rows.filter(F.col("text").rlike(pattern)).select(*keys, F.explode(spans).alias("m")).select(*keys, "m.*")
+    return rows.filter(F.col("text").rlike(pattern)).select(*keys, F.explode_outer(spans).alias("m")).filter(F.col("m").isNotNull()).select(*keys, "m.*")
 
 
 def next_match(matches: DataFrame, anchor: tuple, order: list[str], backwards: bool = False) -> DataFrame:
@@ -58,12 +58,12 @@ def html_references(pages: DataFrame, key: str, html: str = "html") -> DataFrame
         tags = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)(<{tag}\b[^>]*>)"), 1)
         found.append(F.transform(tags, lambda t, a=attribute: F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*[\"']?([^\"'\s>]+)", 1)))
     css = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(?:url\(\s*|@import\s+)[\"']?([^)'\"\s;]+)"), 1)
-    return local_references(pages.select(key, F.explode(F.concat(*found, css)).alias("reference")), key)
+    return local_references(pages.select(key, F.explode_outer(F.concat(*found, css)).alias("reference")).filter(F.col("reference").isNotNull()), key)
 
 
 def markdown_references(texts: DataFrame, key: str) -> DataFrame:
     links = F.regexp_extract_all(F.col("text"), F.lit(r"!?\[[^\]]*\]\(([^)\s]+)(?:\s+['\"][^'\"]*['\"])?\)"), 1)
-    return local_references(texts.select(key, F.explode(links).alias("reference")), key)
+    return local_references(texts.select(key, F.explode_outer(links).alias("reference")).filter(F.col("reference").isNotNull()), key)
 
 
 def local_references(references: DataFrame, key: str) -> DataFrame:

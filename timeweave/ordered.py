@@ -5,8 +5,9 @@ window ``PARTITION BY chapter_id`` does that, but puts a whole chapter into one
 task.  ``prepare`` measures the largest group with one partially aggregated pass:
 
 * no group above the limit -> plain windows, one exchange on the group key;
-* otherwise -> every sequence is cut into ordered blocks of about ``limit`` rows.
-  ``scan`` runs the window inside (group, block), reduces each block to one summary
+* otherwise -> the rows are range-partitioned by group and order, by Spark's own sample of the whole keys, into
+  partitions of about ``limit`` rows, which become the blocks of the sequences.  So neither an outlier nor ties
+  in the first order column nor small groups beside a large one make blocks uneven.  ``scan`` runs the window inside (group, block), reduces each block to one summary
   row, carries the summaries forward over the blocks, and joins them back on
   (group, block).  No task ever sees more than one block of rows.
 
@@ -104,7 +105,18 @@ def prepare(df: DataFrame, seq: Seq, rows: int = SCAN_ROWS) -> tuple[DataFrame,
     if seq.prepared and (seq.width is not None or seq.limit <= max(rows, block_rows(df, rows))):
         return place(df, seq), seq
     seq = measure(df, replace(seq, prepared=False), rows)
-    return (df, seq) if seq.width is None else (cut_lineage(place(df, seq)), seq)
+    return (df, seq) if seq.width is None else (deal(df, seq), seq)
+
+
+def deal(df: DataFrame, seq: Seq) -> DataFrame:
+    """The rows written in blocks of about ``limit`` rows, even ones whatever the order columns look like.
+
+    The rows are written before, so that sampling them does not run the plan above again.
+    """
+    df = cut_lineage(finish(df))
+    n = -(-df.count() // seq.limit)
+    dealt = df.repartitionByRange(n, *seq.group, *seq.order)
+    return cut_lineage(dealt.withColumn(BLOCK, F.spark_partition_id().cast("long")))
 
 
 def place(df: DataFrame, seq: Seq) -> DataFrame:
@@ -251,8 +263,8 @@ def fold(
         F.aggregate("rows", F.struct(F.col("entry").alias("s"), empty.alias("o")), advance)["o"].alias("out"),
     )
     zipped = folded.select(
-        *seq.group, F.explode(F.arrays_zip("rows", "out")).alias("z"),
-    )
+        *seq.group, F.explode_outer(F.arrays_zip("rows", "out")).alias("z"),
+    ).filter(F.col("z").isNotNull())
     return zipped.select(*seq.group, "z.rows.*", "z.out.*")
 
 
@@ -283,8 +295,3 @@ def settle(
         known = checked.filter(~stale).select(*keys, "entry", "exit").unionByName(
             exits(checked.filter(stale).select(*keys, F.col("wanted").alias("entry")))
         )
-
-
-def islands(df: DataFrame, seq: Seq, starts: Column, name: str) -> DataFrame:
-    """Running island number; ``starts`` marks the first row of each island."""
-    return scan(df, seq, {name: Agg("sum", starts.cast("long"))})

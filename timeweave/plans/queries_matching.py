@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.titles import chapter_number, generic_marker_number, is_body
 from timeweave.functions.text import normalize_title
-from timeweave.operators import location, mapping, matching
+from timeweave.operators import edits, location, mapping, matching
 from timeweave.plans import alignment
 from timeweave.plans import relations as r
 from timeweave.plans.registry import query
@@ -110,7 +110,7 @@ def _anchors(spark, sf):
 
     aligned, parts = alignment.aligned_documents(spark, sf)
     placed = text_offsets(r.segments(spark, sf).select("chapter_id", "position", "text"))
-    spans = placed.select("chapter_id", "position", "start_char", F.posexplode(word_spans(F.col("text"))).alias("i", "s")).select(
+    spans = placed.select("chapter_id", "position", "start_char", F.posexplode_outer(word_spans(F.col("text"))).alias("i", "s")).filter(F.col("i").isNotNull()).select(
         "chapter_id", "position", "i", (F.col("start_char") + F.col("s.start_char")).alias("s"), (F.col("start_char") + F.col("s.end_char")).alias("e"))
     spans = number_rows(spans, Seq(order=("position", "i")), "at").select(
         "chapter_id", "at", F.col("position").alias("segment_id"), F.col("s").alias("start_char"), F.col("e").alias("end_char"))
@@ -140,11 +140,19 @@ def token_rows_by_time(spark, sf):
 
 
 @query("passage_locations", rf"""WITH p AS (SELECT item_id, {r.norm_sql('text')} AS k FROM benchmark), d AS (SELECT doc_id, {r.norm_sql('text')} AS k FROM documents)
-SELECT item_id, doc_id, 'exact' AS method FROM p JOIN d ON contains(d.k, p.k)""")
+SELECT item_id, doc_id, strpos(d.k, p.k) - 1 AS start_char, strpos(d.k, p.k) - 1 + length(p.k) AS end_char, 'exact' AS method FROM p JOIN d ON p.k <> '' AND contains(d.k, p.k)""")
 def passage_locations(spark, sf):
     docs = r.chapters(spark, sf).withColumnRenamed("chapter_id", "doc_id")
     found = location.locate_passages(r.table(spark, sf, "benchmark"), docs)
-    return found.filter("method = 'exact'").select("item_id", "doc_id", "method")
+    return found.filter("method = 'exact'").select("item_id", "doc_id", "start_char", "end_char", "method")
+
+
+@query("page_hits", rf"""WITH p AS (SELECT item_id, {r.norm_sql('text')} AS k FROM benchmark), d AS (SELECT doc_id, {r.norm_sql('text')} AS k FROM documents)
+SELECT item_id, doc_id, strpos(d.k, p.k) - 1 AS "offset" FROM p JOIN d ON p.k <> '' AND contains(d.k, p.k)""")
+def page_hits(spark, sf):
+    """Where benchmark texts, playing cues, stand in documents, playing pages."""
+    docs = r.chapters(spark, sf).withColumnRenamed("chapter_id", "doc_id")
+    return edits.page_hits(r.table(spark, sf, "benchmark"), docs)
 
 
 @query("fuzzy_passage_locations")
@@ -278,6 +286,65 @@ def automatic_links(spark, sf):
     return links.select("book_id", "chapter_id", "audio_id", F.round("confidence", 5).alias("confidence"))
 
 
+# One recording a book: two intro markers, then one for each body chapter.  The first four and the last six body
+# chapters have no number; books with a name of odd length lack the last three markers, the others have four more.
+MARKED = """d AS (SELECT source AS book_id, doc_id, length(text) AS n, max(length(text)) OVER (PARTITION BY source) AS mx FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY book_id) AS nb FROM d WHERE n >= greatest(500, round_even(mx * 0.03, 0))),
+ch AS (SELECT *, CASE WHEN rank < 4 THEN 'prelude' WHEN rank >= nb - 6 THEN 'afterword' ELSE 'chapter' || (rank + 1) END AS t FROM b),
+bk AS (SELECT DISTINCT book_id, nb, length(book_id) % 2 AS odd FROM b),
+sl AS (SELECT book_id, ord, dur, 'chapter' || lpad((ord + 1)::VARCHAR, 5, '0') || 'bmp3' AS t FROM (
+  SELECT book_id, rank + 2 AS ord, n * 250 + n % 7 * 20000 AS dur FROM b WHERE length(book_id) % 2 = 0 OR rank < nb - 3
+  UNION ALL SELECT book_id, i, 30000 + 15000 * i FROM bk, range(2) g(i)
+  UNION ALL SELECT book_id, nb + 2 + i, 200000 + 70000 * i FROM bk, range(4) g(i) WHERE odd = 0)),
+rt AS (SELECT ch.book_id, s.ord AS o, ch.nb - 10 AS len, c.dur / ch.n::DOUBLE AS rate FROM ch JOIN sl s ON s.book_id = ch.book_id JOIN sl c ON c.book_id = ch.book_id AND c.ord = s.ord + ch.rank - 4 WHERE ch.rank BETWEEN 4 AND ch.nb - 7 AND ch.nb >= 14),
+md AS (SELECT book_id, o, median(rate) AS m FROM rt GROUP BY book_id, o, len HAVING count(*) = len AND min(rate) > 0),
+ds AS (SELECT book_id, o, avg(abs(ln(rate / m))) AS dispersion FROM rt JOIN md USING (book_id, o) GROUP BY book_id, o),
+fx AS (SELECT book_id, o AS o0, o + nb - 11 AS o1, nb, greatest(0.55, least(0.98, exp(-3 * dispersion))) AS conf, (SELECT max(ord) + 1 FROM sl WHERE sl.book_id = ds.book_id) AS nc FROM ds JOIN bk USING (book_id)
+  QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY dispersion, o) = 1 AND dispersion <= 0.32),
+x AS (SELECT ch.book_id, ch.rank, ch.doc_id, ch.n, sl.ord, 0.35 * (1 - levenshtein(ch.t, sl.t) / greatest(length(ch.t), length(sl.t))::DOUBLE) + 0.1 * least(greatest(10000, ch.n * 260), dur) / greatest(10000, ch.n * 260, dur)::DOUBLE
+  + CASE WHEN ch.rank BETWEEN 4 AND ch.nb - 7 AND ch.rank = sl.ord THEN 0.55 ELSE 0 END AS score FROM ch JOIN sl ON sl.book_id = ch.book_id),
+h AS (SELECT book_id, 4::BIGINT AS rank, o0::BIGINT AS ord FROM fx
+  UNION ALL SELECT h.book_id, h.rank - 1, arg_max(x.ord, x.score * 1e9 - x.ord) FROM h JOIN x ON x.book_id = h.book_id AND x.rank = h.rank - 1 AND x.ord BETWEEN h.ord - 5 AND h.ord - 1 GROUP BY h.book_id, h.rank),
+tl AS (SELECT book_id, rank, row_number() OVER (PARTITION BY book_id ORDER BY rank) - 1 AS t, count(*) OVER (PARTITION BY book_id) AS m FROM (
+  SELECT ch.book_id, rank, row_number() OVER (PARTITION BY ch.book_id ORDER BY n DESC, rank) AS place, nc - o1 - 1 AS available FROM ch JOIN fx ON fx.book_id = ch.book_id WHERE rank > ch.nb - 7) WHERE place <= available),
+f AS (SELECT book_id, -1::BIGINT AS t, o1::BIGINT AS ord FROM fx
+  UNION ALL SELECT book_id, t, CASE WHEN any_value(left_over) THEN min(cand) ELSE arg_max(cand, score * 1e9 - cand) END FROM (
+    SELECT f.book_id, f.t + 1 AS t, x.ord AS cand, x.score, fx.nc - f.ord - 1 = tl.m - tl.t AS left_over FROM f JOIN tl ON tl.book_id = f.book_id AND tl.t = f.t + 1 JOIN fx ON fx.book_id = f.book_id JOIN x ON x.book_id = f.book_id AND x.rank = tl.rank AND x.ord BETWEEN f.ord + 1 AND f.ord + 5) GROUP BY book_id, t),
+al AS (SELECT book_id, rank, ord, NULL::DOUBLE AS conf FROM h WHERE rank < 4 UNION ALL SELECT f.book_id, tl.rank, f.ord, NULL FROM f JOIN tl ON tl.book_id = f.book_id AND tl.t = f.t
+  UNION ALL SELECT ch.book_id, rank, rank - 4 + o0, conf FROM ch JOIN fx ON fx.book_id = ch.book_id WHERE rank BETWEEN 4 AND ch.nb - 7)"""
+
+
+def _marked_book(spark, sf):
+    from timeweave.ordered import Seq, number_rows
+
+    docs = r.table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), F.col("doc_id").alias("position"), F.length("text").cast("long").alias("text_length"))
+    longest = docs.groupBy("book_id").agg(F.max("text_length").alias("mx"))
+    body = docs.join(longest, "book_id").filter(F.col("text_length") >= F.greatest(F.lit(500), F.bround(F.col("mx") * 0.03)))
+    body = number_rows(body, Seq(("book_id",), ("position",)), "k").drop("mx")
+    books = body.groupBy("book_id").agg(F.count(F.lit(1)).alias("nb"), F.min("chapter_id").alias("audio_id"))
+    odd = F.length("book_id") % 2
+    title = F.when(F.col("k") < 4, F.lit("Prelude")).when(F.col("k") >= F.col("nb") - 6, F.lit("Afterword")).otherwise(F.concat(F.lit("Chapter "), (F.col("k") + 1).cast("string")))
+    chapters = body.join(books, "book_id").select("book_id", "chapter_id", "position", title.alias("title"), "text_length")
+    mark = lambda df, ord_, length: df.select("audio_id", ord_.cast("long").alias("position"), length.cast("long").alias("ms"))
+    own = mark(body.join(books, "book_id").filter((odd == 0) | (F.col("k") < F.col("nb") - 3)), F.col("k") + 2, F.col("text_length") * 250 + F.col("text_length") % 7 * 20000)
+    numbered = lambda n: books.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(n)])))
+    intro = mark(numbered(2), F.col("i"), 30000 + 15000 * F.col("i"))
+    more = mark(numbered(4).filter(odd == 0), F.col("nb") + 2 + F.col("i"), 200000 + 70000 * F.col("i"))
+    begin = F.col("position") * 10_000_000
+    marks = own.unionByName(intro).unionByName(more).select("audio_id", "position", F.concat(F.lit("Chapter "), F.lpad((F.col("position") + 1).cast("string"), 5, "0")).alias("title"), begin.alias("start_ms"), (begin + F.col("ms")).alias("end_ms"))
+    assets = books.select("book_id", "audio_id", F.lit(0).alias("position"), F.lit("").alias("title"), F.lit("/media/b.mp3").alias("path"), F.lit(0).cast("long").alias("duration_ms"))
+    return chapters, assets, marks
+
+
+@query("marker_links", f"""WITH RECURSIVE {MARKED}
+SELECT x.book_id, x.doc_id AS chapter_id, al.ord * 10000000 AS source_start_ms, round(greatest(x.score, coalesce(al.conf, 0)), 5) AS confidence FROM al JOIN x ON x.book_id = al.book_id AND x.rank = al.rank AND x.ord = al.ord""")
+def marker_links(spark, sf):
+    """A numbered run is slid along generic markers; chapters before and after it follow."""
+    chapters, assets, marks = _marked_book(spark, sf)
+    links = mapping.automatic_links(chapters, mapping.slices(assets, marks))
+    return links.select("book_id", "chapter_id", "source_start_ms", F.round("confidence", 5).alias("confidence"))
+
+
 @query("unpaired_slices", """SELECT doc_id AS audio_id, 0 AS source_start_ms, length(text) * 250 AS source_end_ms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def unpaired_slices(spark, sf):
     _, assets = _book(spark, sf)

@@ -16,9 +16,9 @@ from timeweave.sources import documents as docs
 from timeweave.sources import sinks, subtitles
 from timeweave.streaming import jobs
 
-# Orders are a customer's linked slices of one of the first 200 documents, in order-key order.  One
+# Orders are a customer's linked slices of one of all documents, in order-key order.  One
 # order in 97 names a medium that does not exist; its whole chapter is then unusable.
-LINKS = """lk AS (SELECT o_custkey AS chapter_id, CASE WHEN o_orderkey % 97 = 5 THEN -1 ELSE o_orderkey % 200 END AS audio_id, o_orderkey AS position, o_orderkey % 7 * 1000 AS source_start_ms, o_orderkey % 7 * 1000 + 500 + o_totalprice::BIGINT % 4000 AS source_end_ms FROM orders),
+LINKS = """lk AS (SELECT o_custkey AS chapter_id, CASE WHEN o_orderkey % 97 = 5 THEN -1 ELSE o_orderkey % (SELECT count(*) FROM documents) END AS audio_id, o_orderkey AS position, o_orderkey % 7 * 1000 AS source_start_ms, o_orderkey % 7 * 1000 + 500 + o_totalprice::BIGINT % 4000 AS source_end_ms FROM orders),
 ast AS (SELECT doc_id AS audio_id, sha256(text) AS fingerprint FROM documents),
 pt AS (SELECT lk.*, fingerprint, source_end_ms - source_start_ms AS d, sum(source_end_ms - source_start_ms) OVER (PARTITION BY chapter_id ORDER BY position) AS local_end FROM lk JOIN ast ON ast.audio_id = lk.audio_id
   WHERE chapter_id NOT IN (SELECT chapter_id FROM lk WHERE audio_id NOT IN (SELECT audio_id FROM ast))),
@@ -39,7 +39,8 @@ SIGNED = "audio_id || ':' || fingerprint || ':' || source_start_ms || ':' || sou
 def _links(spark, sf):
     o = r.table(spark, sf, "orders")
     start = F.col("o_orderkey") % 7 * 1000
-    asset = F.when(F.col("o_orderkey") % 97 == 5, F.lit(-1)).otherwise(F.col("o_orderkey") % 200)
+    n_assets = r.table(spark, sf, "documents").count()
+    asset = F.when(F.col("o_orderkey") % 97 == 5, F.lit(-1)).otherwise(F.col("o_orderkey") % n_assets)
     links = o.select(F.col("o_custkey").alias("chapter_id"), asset.cast("long").alias("audio_id"), F.col("o_orderkey").alias("position"),
                      start.alias("source_start_ms"), (start + 500 + F.bround("o_totalprice").cast("long") % 4000).alias("source_end_ms"))
     assets = r.table(spark, sf, "documents").select(F.col("doc_id").alias("audio_id"), F.sha2("text", 256).alias("fingerprint"))
@@ -327,7 +328,7 @@ def page_texts(spark, sf):
  FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS c FROM pages))
 SELECT page_id, lower(regexp_extract(x, '^<([A-Za-z0-9]+)', 1)) AS kind, count(*) AS blocks FROM b WHERE regexp_matches(regexp_replace(x, '(?s)</?[a-zA-Z!?][^>]*>', '', 'g'), '\S') GROUP BY ALL""")
 def page_blocks(spark, sf):
-    rows = r.table(spark, sf, "pages").select("page_id", F.explode(docs.page_fragments(F.col("html"), F.lit(""))).alias("b"))
+    rows = r.table(spark, sf, "pages").select("page_id", F.explode_outer(docs.page_fragments(F.col("html"), F.lit(""))).alias("b")).filter(F.col("b").isNotNull())
     return rows.groupBy("page_id", F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
@@ -390,7 +391,7 @@ def internal_links(spark, sf):
 def markdown_sections(spark, sf):
     """Documents as Markdown: every third line becomes a heading."""
     md = F.array_join(F.transform(F.split("text", "\n", -1), lambda l, i: F.when(i % 3 == 0, F.concat(F.lit("# "), l)).otherwise(l)), "\n")
-    rows = r.table(spark, sf, "documents").select("doc_id", F.posexplode(docs.markdown_sections(md, F.lit("fallback"))).alias("section", "s"))
+    rows = r.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(docs.markdown_sections(md, F.lit("fallback"))).alias("section", "s")).filter(F.col("section").isNotNull())
     return rows.select("doc_id", "section", F.length("s.title").alias("title_chars"), F.length("s.text").alias("chars"))
 
 
@@ -439,7 +440,7 @@ def overlay_clips(spark, sf):
     """Each turn has its lines as text pieces."""
     parts, _ = media.chapter_parts(*_links(spark, sf))
     talk = r.talk_cues(spark, sf).filter("end_ms > start_ms")
-    pieces = talk.select("chapter_id", "position", F.posexplode(docs.line_fragments(F.col("text"))).alias("node_no", "f")).select(
+    pieces = talk.select("chapter_id", "position", F.posexplode_outer(docs.line_fragments(F.col("text"))).alias("node_no", "f")).filter(F.col("node_no").isNotNull()).select(
         "chapter_id", "position", "node_no", F.col("f.source_start_char").alias("node_start"), F.col("f.source_end_char").alias("node_end"))
     return media.overlay_clips(pieces, talk.select("chapter_id", "position", "start_ms", "end_ms"), parts)[0]
 

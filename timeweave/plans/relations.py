@@ -48,7 +48,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical units ``(chapter_id, at, position, unit)``; dense ``at``, built inside the row."""
     per_cue = let(chapter_sentences(line_fragments(F.col("text"))), lambda cues: F.flatten(F.transform(
         cues, lambda c, i: F.transform(match_units(c["text"]), lambda u: F.struct(i.cast("long").alias("position"), u.alias("unit"))))))
-    return chapters(spark, sf_dir).select("chapter_id", F.posexplode(per_cue).alias("at", "u")).select(
+    return chapters(spark, sf_dir).select("chapter_id", F.posexplode_outer(per_cue).alias("at", "u")).filter(F.col("at").isNotNull()).select(
         "chapter_id", F.col("at").cast("long").alias("at"), "u.position", "u.unit")
 
 

@@ -117,7 +117,7 @@ def markdown_chapters(files: DataFrame, one_chapter: bool = False) -> DataFrame:
     rows = files.select("path", stem(F.col("name")).alias("stem"), decode_text(F.col("content")).alias("md"))
     whole = F.array(F.struct(F.col("stem").alias("title"), strip(F.col("md")).alias("text")))
     parts = whole if one_chapter else markdown_sections(F.col("md"), F.col("stem"))
-    return rows.select("path", F.posexplode(parts).alias("section", "s")).select(
+    return rows.select("path", F.posexplode_outer(parts).alias("section", "s")).filter(F.col("section").isNotNull()).select(
         "path", "section", F.col("s.title").alias("title"), F.col("s.text").alias("text"), F.lit("markdown").alias("source_kind")).filter("text <> ''")
 
 
@@ -153,7 +153,7 @@ def html_chapters(pages: DataFrame, key: str, html: str = "html", fallback: Colu
         rows = pages.select(key, F.lit(0).alias("section"), F.coalesce(F.nullif(title, F.lit("")), default).alias("title"),
                             F.col(html).alias("html"), html_to_text(F.col(html)).alias("text"))
     else:
-        rows = pages.select(key, F.posexplode(html_sections(F.col(html), default)).alias("section", "s")).select(key, "section", "s.*")
+        rows = pages.select(key, F.posexplode_outer(html_sections(F.col(html), default)).alias("section", "s")).filter(F.col("section").isNotNull()).select(key, "section", "s.*")
     return rows.filter("text <> ''").withColumn("source_kind", F.lit("html"))
 
 
@@ -182,13 +182,13 @@ def line_fragments(text: Column) -> Column:
 
 
 def explode_fragments(chapters: DataFrame, fragments: Column, key: str = "chapter_id") -> DataFrame:
-    return chapters.select(key, F.posexplode(fragments).alias("position", "f")).select(
+    return chapters.select(key, F.posexplode_outer(fragments).alias("position", "f")).filter(F.col("position").isNotNull()).select(
         key, F.col("position").cast("long").alias("position"), "f.kind", "f.text", "f.source_start_char", "f.source_end_char")
 
 
 def explode_segments(chapters: DataFrame, fragments: Column, key: str = "chapter_id") -> DataFrame:
     """Sentences of the fragments as segments, without any shuffle."""
-    return chapters.select(key, F.posexplode(chapter_sentences(fragments)).alias("position", "s")).select(
+    return chapters.select(key, F.posexplode_outer(chapter_sentences(fragments)).alias("position", "s")).filter(F.col("position").isNotNull()).select(
         key, F.col("position").cast("long").alias("position"), "s.*")
 
 

@@ -32,7 +32,7 @@ def cue_blocks(text: Column) -> Column:
 
 def parse_cues(texts: DataFrame, key: str = "chapter_id") -> tuple[DataFrame, DataFrame]:
     """Cues in (start, end, index) order, and rejected blocks with the reason."""
-    rows = texts.select(key, F.posexplode(cue_blocks(F.col("text"))).alias("block", "c")).select(key, "block", "c.*")
+    rows = texts.select(key, F.posexplode_outer(cue_blocks(F.col("text"))).alias("block", "c")).filter(F.col("block").isNotNull()).select(key, "block", "c.*")
     rows = rows.withColumn("start_ms", parse_srt_time(F.regexp_extract("timing", TIMING, 1))).withColumn(
         "end_ms", parse_srt_time(F.regexp_extract("timing", TIMING, 2)))
     problem = (

@@ -252,3 +252,41 @@ def test_monotone_match_never_crosses(spark, blocks):
     pairs = sorted((r.a, r.b) for r in matching.monotone_match(a, b).collect())
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
     assert all(words[x] == heard[y] for x, y in pairs) and len(pairs) >= 0.8 * len(heard)
+
+
+@pytest.mark.parametrize("shape", ["outlier", "ties", "giant"])
+def test_blocks_are_even_whatever_the_order_looks_like(spark, shape):
+    from timeweave import ordered
+
+    place = {"outlier": F.when(F.col("id") == 7, F.lit(10 ** 12)).otherwise(F.col("id")), "ties": F.lit(0), "giant": F.col("id")}[shape]
+    group = F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)) if shape == "giant" else F.lit(1)
+    rows = spark.range(4000).select(group.cast("long").alias("chapter_id"), place.cast("long").alias("position"), F.lpad(F.col("id").cast("string"), 6, "0").alias("name"))
+    spark.conf.set(ordered.ROWS_SETTING, "400")
+    try:
+        df, seq = ordered.prepare(rows, ordered.Seq(order=("position", "name")))
+        assert df.groupBy(*seq.keys).count().agg(F.max("count")).first()[0] <= 800
+        found = {r.name: r.n for r in ordered.number_rows(rows, ordered.Seq(order=("position", "name")), "n").collect()}
+    finally:
+        spark.conf.unset(ordered.ROWS_SETTING)
+    want, counts = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.chapter_id, r.position, r.name)):
+        want[r.name] = counts[r.chapter_id] = counts.get(r.chapter_id, -1) + 1
+    assert found == want
+
+
+def test_smallest_containing_equals_brute_force(spark):
+    from timeweave.sweeps import smallest_containing
+
+    rng = random.Random(4)
+    spans = [(rng.choice("ab"), s, s + rng.randrange(0, 30), rng.randrange(3)) for s in (rng.randrange(100) for _ in range(120))]
+    spans += [("a", 5, 2, 0), ("c", 0, 1000, 0), ("c", 10, 20, 1), ("c", 12, 14, 2)]
+    points = [(g, i, p) for i, (g, p) in enumerate((g, p) for g in "abcd" for p in range(-5, 140, 3))]
+    want = {}
+    for g, i, p in points:
+        around = [(e - s, s, v) for h, s, e, v in spans if h == g and s <= p <= e]
+        if around:
+            want[g, i] = min(around)
+    p = spark.createDataFrame([*points, (None, 900, 5), ("a", 901, None)], "g string, i int, p long")
+    s = spark.createDataFrame([*spans, (None, 0, 9, 1)], "g string, s long, e long, v int")
+    found = {(r.g, r.i): (r.hit.e - r.hit.s, r.hit.s, r.hit.v) for r in smallest_containing(p, s, "g", "i", "p", ("s", "e"), "hit").collect()}
+    assert found == want

@@ -9,6 +9,7 @@ from timeweave.functions.sentences import split_sentences
 from timeweave.functions.text import BLANKS, collapse, normalize_for_match, normalize_title, preferred_split, strip
 from timeweave.intervals import asof_join, overlap_join, point_join
 from timeweave.ordered import CHAPTER, Agg, Seq, finish, number_rows, prepare, prev, refine, scan
+from timeweave.sweeps import smallest_containing
 
 
 def restore_chapters(fragments: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -93,16 +94,15 @@ def offset_times(points: DataFrame, anchors: DataFrame) -> DataFrame:
 
     ``points(cue_id, point_id, at_char, fallback_ms, start_ms, end_ms)``,
     ``anchors(cue_id, a_start, a_end, t_start, t_end)`` in the same characters.  The smallest
-    containing anchor is interpolated; else the next anchor's start; else the previous
+    containing anchor (of equal ones the first) is interpolated; else the next anchor's start; else the previous
     one's end; times outside the cue are projected back by the anchors' overall span.
     """
     key = ("cue_id",)
-    inside = point_join(points.select("cue_id", "point_id", "at_char"), anchors, ["cue_id"], "at_char", ("a_start", "a_end"),
-                        width=1024, closed=True)
-    ratio = (F.col("at_char") - F.col("a_start")) / F.greatest(F.lit(1), F.col("a_end") - F.col("a_start"))
-    within = inside.groupBy("cue_id", "point_id").agg(F.min(F.struct(
-        (F.col("a_end") - F.col("a_start")).alias("w"), "a_start", F.bround(F.col("t_start") + ratio * (F.col("t_end") - F.col("t_start"))).cast("long").alias("t"),
-    ))["t"].alias("__in"))
+    place = F.struct("point_id", "at_char").alias("__point")
+    inside = smallest_containing(points.select("cue_id", place, "at_char"), anchors.select("cue_id", "a_start", "a_end", "t_start", "t_end"),
+                                 "cue_id", "__point", "at_char", ("a_start", "a_end"), "__s")
+    ratio = (F.col("__point.at_char") - F.col("__s.a_start")) / F.greatest(F.lit(1), F.col("__s.a_end") - F.col("__s.a_start"))
+    within = inside.select("cue_id", "__point.point_id", F.bround(F.col("__s.t_start") + ratio * (F.col("__s.t_end") - F.col("__s.t_start"))).cast("long").alias("__in"))
     before = asof_join(points, anchors, key, "at_char", "a_end", ["t_end"], name="__before")
     both = asof_join(before, anchors, key, "at_char", "a_start", ["t_start"], backward=False, name="__after")
     span = anchors.groupBy("cue_id").agg(F.min("t_start").alias("__lo"), F.max("t_end").alias("__hi"))

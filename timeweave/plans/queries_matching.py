@@ -361,3 +361,65 @@ def chapter_pages(spark, sf):
     chapters = docs.select("book_id", "chapter_id", F.col("chapter_id").alias("position"), "text")
     pages = docs.select("book_id", F.col("chapter_id").alias("page_id"), (-F.col("chapter_id")).alias("spine_pos"), F.concat(F.lit("Page. "), F.col("text")).alias("text"))
     return mapping.match_pages(chapters, pages).withColumn("score", F.round("score", 4))
+
+
+# Turns as cues of 37 ms a character, with overlapping anchors, shorter ones nested in them, and, in even turns, one around nearly all.
+NESTED = """cu AS (SELECT conv_id * 1000 + turn AS cue_id, conv_id AS chapter_id, turn, length(text) AS n, conv_id % 7 * 500 AS s0, conv_id % 7 * 500 + length(text) * 37 AS e0 FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL),
+an AS (SELECT cue_id, a_start, a_end, a_start * 31 + k % 5 * 11 + 400 AS t_start, a_start * 31 + k % 5 * 11 + 400 + (a_end - a_start) * 29 AS t_end FROM (
+  SELECT cue_id, n, i AS k, i * 40 AS a_start, i * 40 + 50 AS a_end FROM cu, range(50) g(i) WHERE i * 40 + 50 < n - 20 AND i % 3 <> 2
+  UNION ALL SELECT cue_id, n, i, i * 120 + 10, i * 120 + 30 FROM cu, range(17) g(i) WHERE i * 120 + 30 < n - 20
+  UNION ALL SELECT cue_id, n, 3, 21, n - 20 FROM cu WHERE turn % 2 = 0 AND n > 60))"""
+
+
+def _nested(spark, sf):
+    cues = r.table(spark, sf, "conversations").filter("text is not null and turn is not null").withColumn("n", F.length("text").cast("long")).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("cue_id"), F.col("conv_id").alias("chapter_id"), "turn", "n",
+        (F.col("conv_id") % 7 * 500).alias("start_ms"), (F.col("conv_id") % 7 * 500 + F.col("n") * 37).alias("end_ms"))
+
+    def marks(step: int, first: int, last: int, skip: bool):
+        at = cues.select("cue_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor(F.col("n") / step)))).alias("k"))
+        kept = at.filter((F.col("k") * step + last < F.col("n") - 20) & ((F.col("k") % 3 != 2) | F.lit(not skip)))
+        return kept.select("cue_id", "k", (F.col("k") * step + first).alias("a_start"), (F.col("k") * step + last).alias("a_end"))
+
+    wide = cues.filter("turn % 2 = 0 and n > 60").select("cue_id", F.lit(3).cast("long").alias("k"), F.lit(21).cast("long").alias("a_start"), (F.col("n") - 20).alias("a_end"))
+    all_marks = marks(40, 0, 50, True).unionByName(marks(120, 10, 30, False)).unionByName(wide)
+    began = F.col("a_start") * 31 + F.col("k") % 5 * 11 + 400
+    return cues, all_marks.select("cue_id", "a_start", "a_end", began.alias("t_start"), (began + (F.col("a_end") - F.col("a_start")) * 29).alias("t_end"))
+
+
+@query("text_offset_times", f"""WITH {NESTED}, pt AS (SELECT cue_id, i AS point_id, i * 17 AS at_char, s0, e0, n FROM cu, range(200) g(i) WHERE i * 17 <= n),
+ins AS (SELECT pt.cue_id, point_id, arg_min(round_even(t_start + (at_char - a_start) / greatest(1, a_end - a_start)::DOUBLE * (t_end - t_start), 0)::BIGINT, (a_end - a_start) * 100000 + a_start) AS t FROM pt JOIN an ON an.cue_id = pt.cue_id AND at_char BETWEEN a_start AND a_end GROUP BY ALL),
+aft AS (SELECT pt.cue_id, point_id, arg_min(t_start, a_start) AS t FROM pt JOIN an ON an.cue_id = pt.cue_id AND a_start >= at_char GROUP BY ALL),
+bef AS (SELECT pt.cue_id, point_id, arg_max(t_end, a_end) AS t FROM pt JOIN an ON an.cue_id = pt.cue_id AND a_end <= at_char GROUP BY ALL),
+sp AS (SELECT cue_id, min(t_start) AS lo, max(t_end) AS hi FROM an GROUP BY cue_id),
+raw AS (SELECT pt.*, lo, hi, coalesce(ins.t, aft.t, bef.t, s0 + at_char * 37) AS t FROM pt LEFT JOIN ins USING (cue_id, point_id) LEFT JOIN aft USING (cue_id, point_id) LEFT JOIN bef USING (cue_id, point_id) LEFT JOIN sp USING (cue_id)),
+bent AS (SELECT *, CASE WHEN lo IS NOT NULL AND hi > lo AND NOT (t > s0 AND t < e0) THEN s0 + round_even(greatest(0, least(1, (t - lo) / (hi - lo)::DOUBLE)) * (e0 - s0), 0)::BIGINT ELSE t END AS u FROM raw)
+SELECT cue_id, point_id, CASE WHEN e0 - s0 < 2 THEN 0 ELSE greatest(s0 + 1, least(e0 - 1, u)) END::BIGINT AS time_ms FROM bent""")
+def text_offset_times(spark, sf):
+    """Every 17th character of a turn through nested and overlapping anchors."""
+    cues, anchors = _nested(spark, sf)
+    points = cues.select("cue_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 17))).alias("point_id"), "start_ms", "end_ms").withColumn(
+        "at_char", F.col("point_id") * 17).withColumn("fallback_ms", F.col("start_ms") + F.col("at_char") * 37)
+    return edits.offset_times(points, anchors).select("cue_id", "point_id", "time_ms")
+
+
+@query("text_line_times", f"""WITH {NESTED}, off AS (SELECT *, sum(n) OVER (PARTITION BY chapter_id ORDER BY turn) - n AS c0 FROM cu),
+ln AS (SELECT chapter_id, cue_id, turn * 100 + i AS line_no, c0 + i * 60 AS l0, c0 + least(n, i * 60 + 60) AS l1, c0, n, s0, e0 FROM off, range(100) g(i) WHERE i * 60 < n),
+ac AS (SELECT off.chapter_id, c0 + a_start AS x0, c0 + a_end AS x1, t_start, t_end FROM an JOIN off USING (cue_id)),
+hit AS (SELECT ln.chapter_id, line_no, min(t_start) AS t0, max(t_end) AS t1 FROM ln JOIN ac ON ac.chapter_id = ln.chapter_id AND l0 < x1 AND x0 < l1 GROUP BY ALL)
+SELECT ln.chapter_id, ln.line_no, coalesce(t0, s0 + round_even((e0 - s0) * (l0 - c0) / greatest(1, n)::DOUBLE, 0))::BIGINT AS start_ms, coalesce(t1, s0 + round_even((e0 - s0) * (l1 - c0) / greatest(1, n)::DOUBLE, 0))::BIGINT AS end_ms, t0 IS NULL AS estimated
+FROM ln LEFT JOIN hit ON hit.chapter_id = ln.chapter_id AND hit.line_no = ln.line_no""")
+def text_line_times(spark, sf):
+    """Lines of 60 characters of all turns, timed by the anchors that touch them."""
+    from timeweave.ordered import Agg, Seq, finish, prepare, scan
+
+    cues, anchors = _nested(spark, sf)
+    rows, seq = prepare(cues, Seq(order=("turn",)))
+    placed = finish(scan(rows, seq, {"end_char": Agg("sum", F.col("n"))})).withColumn("start_char", F.col("end_char") - F.col("n"))
+    lines = placed.filter("n > 0").select("chapter_id", F.col("cue_id").alias("segment_id"), "turn", "n", "start_char", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 60))).alias("i"))
+    lines = lines.select("chapter_id", "segment_id", (F.col("turn") * 100 + F.col("i")).alias("line_no"), (F.col("start_char") + F.col("i") * 60).alias("line_start"),
+                         (F.col("start_char") + F.least(F.col("n"), F.col("i") * 60 + 60)).alias("line_end"))
+    segments = placed.withColumnRenamed("cue_id", "segment_id").select("chapter_id", "segment_id", "start_char", "end_char", "start_ms", "end_ms")
+    global_ = anchors.join(placed.select("cue_id", "chapter_id", "start_char"), "cue_id").select(
+        "chapter_id", (F.col("start_char") + F.col("a_start")).alias("source_start_char"), (F.col("start_char") + F.col("a_end")).alias("source_end_char"), F.col("t_start").alias("start_ms"), F.col("t_end").alias("end_ms"))
+    return matching.text_line_times(lines, segments, global_).select("chapter_id", "line_no", "start_ms", "end_ms", "estimated")

@@ -455,3 +455,22 @@ def test_full_compatibility_folding(spark):
         assert r.e == " ".join(nfkc.split()), value
         bare = "".join(c for c in unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(x))) if unicodedata.category(c)[0] in "LN")
         assert r.h == bare, value
+
+
+def test_references_follow_html_5(spark):
+    import html
+
+    rng = random.Random(9)
+    parts = ["&#150;", "&#15", "&#150", "&#x80;", "&#X41", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#xFDD1;", "&#65535;", "&#11;", "&#13;", "&#38;", "&#38;lt;", "&#038;copy",
+             "&copy 2020", "&copy2020", "&copysr;", "&copyfoo;", "&notin;", "&notit;", "&amp;lt;", "&amp;copy", "&amp", "&AMP;gt", "&lt", "&LT;b", "&unknown;", "&;", "&", "&&gt;", "&eacute;", "&Eacute", "&frac12", "&hellip;", "&#", "&#x;", "x", " ", ";", "12", "é"]
+    texts = parts + ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", text.unescape(F.col("t")).alias("once"), text.unescape(F.col("t"), 2).alias("twice")).collect()
+    for r in found:
+        assert r.once == html.unescape(r.t), r.t
+        assert r.twice == html.unescape(html.unescape(r.t)), r.t
+    assert text_of(spark, "a&nbsp;b&nbsp c") == "a b  c"
+
+
+def text_of(spark, value):
+    return one(spark, text.unescape(F.lit(value)).alias("t")).t

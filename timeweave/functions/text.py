@@ -345,36 +345,62 @@ def editable_text(text: Column) -> Column:
 
 
 # What the rules write for these references instead of their usual character.
-OWN_REFERENCES = {"nbsp": " "}
+OWN_REFERENCES = {"nbsp;": " ", "nbsp": " "}
+# Stands for a decoded ampersand until the pass is over, so that it begins no reference; a noncharacter.
+_AMP = "\ufdd0"
 
 
-def _references() -> Column:
-    """Character of every named reference of HTML, one literal that Spark folds."""
-    names = {name[:-1]: character for name, character in html5.items() if name.endswith(";") and name != "amp;"}
-    return F.from_json(F.lit(json.dumps(names | OWN_REFERENCES)), "map<string,string>")
+def _image(code: int) -> str:
+    """What HTML makes of a numeric reference: Windows-1252 for the upper controls, nothing for what is no text."""
+    if code == 0 or 0xD800 <= code <= 0xDFFF or code > 0x10FFFF:
+        return "\ufffd"
+    if 0x80 <= code <= 0x9F:
+        return bytes([code]).decode("cp1252", "ignore") or chr(code)
+    if code == 0x0D:
+        return "\r"
+    if code < 0x20 and code not in (9, 10, 12) or code == 0x7F or 0xFDD0 <= code <= 0xFDEF or code & 0xFFFE == 0xFFFE:
+        return ""
+    return chr(code)
+
+
+@cache
+def _references() -> tuple[str, str, str]:
+    """Images of named references as JSON, those that need no semicolon as a pattern, numeric images that are not the character itself."""
+    names = {name: _AMP if character == "&" else character for name, character in (html5 | OWN_REFERENCES).items()}
+    open_ = sorted((name for name in names if not name.endswith(";")), key=lambda name: (-len(name), name))
+    planes = [plane << 16 | end for plane in range(17) for end in (0xFFFE, 0xFFFF)]
+    numeric = {str(code): _AMP if code == 38 else _image(code) for code in [*range(0xA0), *range(0xFDD0, 0xFDF0), *planes]}
+    return json.dumps(names), "&(?:" + "|".join(open_) + ")", json.dumps(numeric)
 
 
 def _numeric(reference: Column) -> Column:
-    """Character of ``&#N;`` or ``&#xN;``; the replacement character where there is none."""
-    digits = F.regexp_extract(reference, "&#[xX]?([0-9a-fA-F]+);", 1)
-    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    """Character of ``&#N;`` or ``&#xN;``, with or without the semicolon."""
+    digits = F.regexp_replace(F.regexp_extract(reference, "&#[xX]?([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
+    short = F.when(F.length(digits) <= 8, digits).otherwise(F.lit("99999999"))
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short).cast("long")
+    special = F.try_element_at(F.from_json(F.lit(_references()[2]), "map<string,string>"), code.cast("string"))
+    real = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.coalesce(special, F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
 
 
 def unescape(text: Column, passes: int = 1) -> Column:
-    """Named and numeric character references; ``&amp;`` last.  Unknown names stay."""
-    names = _references()
+    """Character references by the rules of HTML 5, those without a semicolon too; unknown names stay."""
+    names_json, open_, _ = _references()
+    names = F.from_json(F.lit(names_json), "map<string,string>")
 
     def replaced(value: Column, pattern: str, character) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)))
-        return F.when(value.rlike(pattern), F.aggregate(found, value, lambda acc, x: F.replace(acc, x, character(x)))).otherwise(value)
-
+        def some(v: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)))
+            # Longer ones first: "&#15" also begins "&#150".
+            longest = F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+            return F.when(v.rlike(pattern), F.aggregate(longest, v, lambda acc, x: F.replace(acc, x["x"], character(x["x"])))).otherwise(v)
+        return let(value, some)
+
+    named = lambda x: F.coalesce(F.try_element_at(names, F.substring(x, F.lit(2), F.length(x))), x)
     for _ in range(passes):
-        text = replaced(text, "&#(?:[0-9]{1,8}|[xX][0-9a-fA-F]{1,7});", _numeric)
-        text = replaced(text, "&[A-Za-z][A-Za-z0-9]*;", lambda x: F.coalesce(
-            F.try_element_at(names, F.substring(x, F.lit(2), F.length(x) - 2)), x))
-        text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+        text = replaced(text, "&#(?:[0-9]+|[xX][0-9a-fA-F]+);?", _numeric)
+        text = replaced(text, "&[A-Za-z][A-Za-z0-9]*;", named)
+        text = F.replace(replaced(text, open_, named), F.lit(_AMP), F.lit("&"))
     return text
 
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,9 +122,18 @@ class Model:
 
 
 def build(rows: list[tuple[str, int, int]]) -> Model:
-    """The model of (lang, key, n); their number is bounded by the sample."""
-    langs = tuple(sorted({lang for lang, _, _ in rows}))
-    all_keys = np.unique(np.array([key for _, key, _ in rows], np.int64))
+    """The model of (lang, key, n)."""
+    lang, key, n = zip(*rows) if rows else ((), (), ())
+    return build_table(pa.table({"lang": pa.array(lang, pa.string()), "key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())}))
+
+
+def build_table(rows: pa.Table) -> Model:
+    """The model of a table (lang, key, n); its rows are bounded by the sample."""
+    named = pc.dictionary_encode(rows.column("lang").combine_chunks())
+    code, key, n = named.indices.to_numpy(), rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    names = named.dictionary.to_pylist()
+    langs = tuple(sorted(names))
+    all_keys = np.unique(key)
     length = all_keys >> (8 * LONGEST)
     body = all_keys & ((1 << (8 * LONGEST)) - 1)
     place = lambda n, text: np.searchsorted(all_keys, (n << (8 * LONGEST)) | text) + 1  # noqa: E731  node 0 is empty
@@ -131,8 +141,8 @@ def build(rows: list[tuple[str, int, int]]) -> Model:
     suffix = np.where(length > 1, place(length - 1, body & ((1 << np.maximum(8 * (length - 1), 0)) - 1)), 0)
     counts = np.zeros((len(all_keys) + 1, len(langs)))
     for i, lang in enumerate(langs):
-        mine = [(key, n) for name, key, n in rows if name == lang]
-        counts[np.searchsorted(all_keys, [key for key, _ in mine]) + 1, i] = [n for _, n in mine]
+        mine = code == names.index(lang)
+        counts[np.searchsorted(all_keys, key[mine]) + 1, i] = n[mine]
     total, kinds = np.zeros_like(counts), np.zeros_like(counts)
     np.add.at(total, context, counts[1:])
     np.add.at(kinds, context, counts[1:] > 0)
@@ -173,8 +183,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     sample = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(order, F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     first = Window.partitionBy("lang").orderBy(order, "doc_id", "text")
     sample = sample.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
-    rows = string_counts(sample).toPandas()
-    return build(list(zip(rows["lang"], rows["key"].astype(int), rows["n"].astype(int)))) if len(rows) else build([])
+    return build_table(string_counts(sample).toArrow())
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -145,13 +145,14 @@ def html_sections(html: Column, fallback: Column) -> Column:
     return let(clean, build)
 
 
-def html_chapters(pages: DataFrame, key: str, html: str = "html", fallback: Column | None = None, one_chapter: bool = False) -> DataFrame:
-    """HTML sections as chapters, or the whole page as one (A4, A5)."""
+def html_chapters(pages: DataFrame, key: str, html: str = "html", fallback: Column | None = None, one_chapter: bool = False,
+                  closed: bool = False) -> DataFrame:
+    """HTML sections as chapters, or the whole page as one (A4, A5); ``closed``, for whole pages, as in ``unescape``."""
     default = fallback if fallback is not None else F.col(key).cast("string")
     if one_chapter:
-        title = strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+        title = strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), closed=closed))
         rows = pages.select(key, F.lit(0).alias("section"), F.coalesce(F.nullif(title, F.lit("")), default).alias("title"),
-                            F.col(html).alias("html"), html_to_text(F.col(html)).alias("text"))
+                            F.col(html).alias("html"), html_to_text(F.col(html), closed).alias("text"))
     else:
         rows = pages.select(key, F.posexplode_outer(html_sections(F.col(html), default)).alias("section", "s")).filter(F.col("section").isNotNull()).select(key, "section", "s.*")
     return rows.filter("text <> ''").withColumn("source_kind", F.lit("html"))

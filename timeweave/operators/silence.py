@@ -10,6 +10,7 @@ from timeweave.functions.timecode import clamp01, silence_edges
 from timeweave.intervals import asof_join, point_join
 from timeweave.operators.timeline import timed
 from timeweave.ordered import CHAPTER, Agg, Seq, finish, fold, number_rows, prepare, prev, refine, scan
+from timeweave.session import cut_lineage
 
 FRAME_MS = 20
 FRAMES = Seq(order=("frame_no",))
@@ -34,13 +35,15 @@ def exact_percentile(df: DataFrame, value: str, fraction: float, name: str, grou
     """Linear-interpolated percentile per group that never gathers a group.
 
     A histogram finds the bins holding the two neighbouring ranks; only the distinct
-    values of those bins are ranked.
+    values of those bins are counted and ranked.  The few rows a group that all rows meet are written
+    before, so that their size is known and no group is sent to one task for them.
     """
     stats = df.groupBy(group).agg(
         F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
     ).withColumn("rank", (F.col("n") - 1) * F.lit(fraction)).withColumn("r0", F.floor("rank")).withColumn(
         "r1", F.ceil("rank")
     )
+    stats = cut_lineage(stats)
     width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
     binned = df.select(group, F.col(value).alias("v")).filter("v is not null").join(stats, group).withColumn(
         "bin", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width))
@@ -50,7 +53,8 @@ def exact_percentile(df: DataFrame, value: str, fraction: float, name: str, grou
     wanted = running.join(stats.select(group, "r0", "r1"), group).filter(
         (F.col("upto") > F.col("r0")) & (F.col("upto") - F.col("c") <= F.col("r1"))
     ).select(group, "bin", (F.col("upto") - F.col("c")).alias("below"))
-    values = binned.groupBy(group, "bin", "v").agg(F.count(F.lit(1)).alias("c")).join(wanted, [group, "bin"])
+    wanted = cut_lineage(wanted)
+    values = binned.join(wanted, [group, "bin"]).groupBy(group, "bin", "below", "v").agg(F.count(F.lit(1)).alias("c"))
     ranked = values.withColumn(
         "upto", F.col("below") + F.sum("c").over(Window.partitionBy(group, "bin").orderBy("v"))
     ).withColumn("from", F.col("upto") - F.col("c")).join(stats.select(group, "rank", "r0", "r1"), group)

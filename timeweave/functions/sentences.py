@@ -72,9 +72,10 @@ def _too_long(text: Column, cjk: Column) -> Column:
 
 def _balance(piece: Column, cjk: Column) -> Column:
     """Cut an over-long piece at punctuation near every 35 words or 80 CJK characters."""
+    text = piece["text"]
+    # The state holds places only: it is copied in every round, so texts are cut out at the end.
     start = F.struct(
-        piece["text"].alias("rest"), piece["start_char"].alias("at"),
-        F.lit(True).alias("open"), empty_array(PIECES).alias("out"),
+        F.lit(0).alias("at"), F.lit(True).alias("open"), empty_array("struct<at:int,n:int>").alias("out"),
     )
     # Up to the end of the word that fills the limit; only evaluated on longer pieces.
     filled = (
@@ -82,51 +83,56 @@ def _balance(piece: Column, cjk: Column) -> Column:
         rf"[^{LETTER}]*+[{LETTER}](?:['’\-]*+[{LETTER}])*+"
     )
 
+    def part(at: Column, n: Column) -> Column:
+        return F.substring(text, at + 1, n)
+
     def cut(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        near = F.when(cjk, F.least(F.length(rest) - 1, F.lit(CJK_LIMIT))).otherwise(
-            F.length(F.regexp_extract(rest, filled, 0))
-        )
+        closed = F.struct(acc["at"].alias("at"), F.lit(False).alias("open"), acc["out"].alias("out"))
 
-        def apply(split: Column) -> Column:
-            left = _strip_span(F.substring(rest, F.lit(1), split), acc["at"])
+        def apply(rest: Column, split: Column) -> Column:
             tail = F.ltrim(F.substring(rest, split + 1, F.length(rest)), F.lit(BLANKS))
-            good = (split > 0) & (split < F.length(rest)) & has_text(left["text"])
+            good = (split > 0) & (split < F.length(rest)) & has_text(F.substring(rest, F.lit(1), split))
             return F.when(good, F.struct(
-                tail.alias("rest"),
-                (acc["at"] + F.length(rest) - F.length(tail)).alias("at"),
-                F.lit(True).alias("open"), F.concat(acc["out"], F.array(left)).alias("out"),
-            )).otherwise(F.struct(
-                rest.alias("rest"), acc["at"].alias("at"), F.lit(False).alias("open"), acc["out"].alias("out"),
-            ))
-
-        return F.when(acc["open"] & _too_long(rest, cjk), let(
-            preferred_split(rest, near, punctuation_only=True), apply,
-        )).otherwise(acc)
-
-    rounds = F.sequence(F.lit(1), F.floor(F.length(piece["text"]) / 16).cast("int") + 1)
+                (acc["at"] + F.length(rest) - F.length(tail)).alias("at"), F.lit(True).alias("open"),
+                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), split.alias("n")))).alias("out"),
+            )).otherwise(closed)
+
+        def further(rest: Column) -> Column:
+            near = F.when(cjk, F.least(F.length(rest) - 1, F.lit(CJK_LIMIT))).otherwise(
+                F.length(F.regexp_extract(rest, filled, 0))
+            )
+            return F.when(_too_long(rest, cjk), let(
+                preferred_split(rest, near, punctuation_only=True), lambda split: apply(rest, split),
+            )).otherwise(closed)
+
+        return F.when(acc["open"], let(part(acc["at"], F.length(text)), further)).otherwise(acc)
+
+    rounds = F.sequence(F.lit(1), F.floor(F.length(text) / 16).cast("int") + 1)
     done = F.aggregate(rounds, start, cut)
-    return F.when(~_too_long(piece["text"], cjk), F.array(piece)).otherwise(let(done, lambda d: F.concat(
-        d["out"], F.filter(F.array(_strip_span(d["rest"], d["at"])), lambda p: p["text"] != ""),
-    )))
+
+    def spans(places: Column) -> Column:
+        cuts = F.concat(places["out"], F.array(F.struct(places["at"].alias("at"), F.length(text).alias("n"))))
+        found = F.transform(cuts, lambda c: _strip_span(part(c["at"], c["n"]), piece["start_char"] + c["at"]))
+        return F.filter(found, lambda p: p["text"] != "")
+
+    return F.when(~_too_long(text, cjk), F.array(piece)).otherwise(let(done, spans))
 
 
 def _glue(pieces: Column) -> Column:
     """Pieces without letters or digits join the piece before them."""
-    def add(acc: Column, piece: Column) -> Column:
-        last = F.element_at(acc, -1)
-        glued = F.struct(
-            F.concat(last["text"], piece["text"]).alias("text"),
-            last["start_char"].alias("start_char"), piece["end_char"].alias("end_char"),
-        )
-        return (
-            F.when(has_text(piece["text"]), F.concat(acc, F.array(piece)))
-            .when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(glued)))
-            .otherwise(acc)
-        )
+    def joined(found: Column) -> Column:
+        def run(first: Column, after: Column) -> Column:
+            return F.struct(
+                F.array_join(F.transform(F.slice(found, first, after - first), lambda p: p["text"]), "").alias("text"),
+                F.get(found, first - 1)["start_char"].alias("start_char"), F.get(found, after - 2)["end_char"].alias("end_char"),
+            )
+
+        places = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: has_text(F.get(found, i - 1)["text"]))
+        return let(places, lambda firsts: F.transform(firsts, lambda i, k: run(
+            i, F.coalesce(F.get(firsts, k + 1), F.size(found) + 1))))
 
     return let(pieces, lambda found: F.when(
-        F.exists(found, lambda p: ~has_text(p["text"])), F.aggregate(found, empty_array(PIECES), add),
+        F.exists(found, lambda p: ~has_text(p["text"])), joined(found),
     ).otherwise(found))
 
 

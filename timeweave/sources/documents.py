@@ -189,7 +189,9 @@ def explode_fragments(chapters: DataFrame, fragments: Column, key: str = "chapte
 
 def explode_segments(chapters: DataFrame, fragments: Column, key: str = "chapter_id") -> DataFrame:
     """Sentences of the fragments as segments, without any shuffle."""
-    return chapters.select(key, F.posexplode_outer(chapter_sentences(fragments)).alias("position", "s")).filter(F.col("position").isNotNull()).select(
+    # Two steps, for the analyzer's rounds grow with nested functions.
+    blocks = chapters.select(key, fragments.alias("__blocks"))
+    return blocks.select(key, F.posexplode_outer(chapter_sentences(F.col("__blocks"))).alias("position", "s")).filter(F.col("position").isNotNull()).select(
         key, F.col("position").cast("long").alias("position"), "s.*")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.text import BLANKS, join_token_text, terminal_mark
 from timeweave.functions.timecode import clamp01
 from timeweave.ordered import Agg, Seq, finish, fold, number_rows, prepare, prev, scan
+from timeweave.session import cut_lineage
 
 TOKENS = Seq(order=("token_pos",))
 
@@ -84,7 +85,8 @@ def merge_chunks(chunk_tokens: DataFrame, chunks: DataFrame, dedup: bool = False
     ).withColumn("end_ms", F.col("end_ms") + F.col("source_start_ms"))
     mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
     inside = (mid >= F.col("core_start_ms")) & ((mid < F.col("core_end_ms")) if dedup else (mid <= F.col("core_end_ms")))
-    kept = joined.filter(inside).drop("source_start_ms", "core_start_ms", "core_end_ms")
+    # Written once: numbering measures the runs first, which would join all tokens a second time.
+    kept = cut_lineage(joined.filter(inside).drop("source_start_ms", "core_start_ms", "core_end_ms"))
     return number_rows(kept, Seq(("run_id",), ("chunk_position", "token_pos"), by="chunk_position"), "position")
 
 

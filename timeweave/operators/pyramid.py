@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.session import cut_lineage
+
 STOP_WIDTH = 2048
+# So many cells of all levels one task folds; their number, not their bytes, takes its memory.
+TASK_CELLS = 1_000_000
 
 
 def base_buckets(samples: DataFrame, bucket_size: int, group: str = "chapter_id") -> DataFrame:
@@ -19,26 +23,36 @@ def base_buckets(samples: DataFrame, bucket_size: int, group: str = "chapter_id"
         scaled(F.min("value")).alias("min_v"), scaled(F.max("value")).alias("max_v"))
 
 
+def _leveled(base: DataFrame, group: str, stop: int) -> DataFrame:
+    """Every base row once for each ``level``, dealt by the last level's cell ``__top``, in which all its ancestors lie."""
+    base = cut_lineage(base)
+    width = base.groupBy(group).agg((F.max("bucket") + 1).alias("width"))
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.col("width") / F.lit(float(stop))))).cast("int")
+    spread = base.join(width, group).withColumn("__levels", levels).drop("width")
+    cells = spread.agg(F.sum(F.col("__levels") + 1)).first()[0] or 0
+    tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells // TASK_CELLS))
+    dealt = spread.withColumn("__top", _ancestor(F.col("__levels"))).repartition(tasks, group, "__top")
+    return dealt.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__levels"))))
+
+
+def _ancestor(level: Column) -> Column:
+    return F.floor(F.col("bucket") / F.pow(F.lit(2), level))
+
+
 def pyramid(base: DataFrame, group: str = "chapter_id", stop: int = STOP_WIDTH) -> DataFrame:
     """Every level at once: halve until at most ``stop`` columns.
 
-    Each base bucket is folded into all its ancestors by one partially aggregated
-    shuffle.  A missing right sibling leaves the left one alone, like a repeated edge.
+    Each base bucket is folded into all its ancestors behind one shuffle of the base rows, in tasks of
+    bounded size.  A missing right sibling leaves the left one alone, like a repeated edge.
     """
-    width = base.groupBy(group).agg((F.max("bucket") + 1).alias("width"))
-    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.col("width") / F.lit(float(stop))))).cast("int")
-    spread = base.join(width, group).withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
-    return spread.groupBy(group, "level", F.floor(F.col("bucket") / F.pow(F.lit(2), F.col("level"))).alias("bucket")).agg(
-        F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"))
+    return _leveled(base, group, stop).groupBy(group, "__top", "level", _ancestor(F.col("level")).alias("bucket")).agg(
+        F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v")).drop("__top")
 
 
 def max_pyramid(bands: DataFrame, group: str = "chapter_id", stop: int = STOP_WIDTH) -> DataFrame:
     """Max-pool pyramid of band values ``(chapter_id, bucket, band, value)``."""
-    width = bands.groupBy(group).agg((F.max("bucket") + 1).alias("width"))
-    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.col("width") / F.lit(float(stop))))).cast("int")
-    spread = bands.join(width, group).withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
-    return spread.groupBy(group, "level", F.floor(F.col("bucket") / F.pow(F.lit(2), F.col("level"))).alias("bucket"), "band").agg(
-        F.max("value").alias("value"))
+    return _leveled(bands, group, stop).groupBy(group, "__top", "level", _ancestor(F.col("level")).alias("bucket"), "band").agg(
+        F.max("value").alias("value")).drop("__top")
 
 
 def read_range(levels: DataFrame, start: int, end: int, pixels: int) -> DataFrame:

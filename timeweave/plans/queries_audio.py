@@ -494,5 +494,8 @@ w AS (SELECT chapter_id, greatest(0, ceil(log2((max(bucket) + 1) / 64.0)))::INT
 SELECT b.chapter_id, lv.level, bucket >> lv.level AS bucket, band, max(value) AS value FROM b JOIN w ON w.chapter_id = b.chapter_id JOIN (SELECT unnest(range(0, 40))::INT AS level) lv ON lv.level <= top GROUP BY ALL""")
 def band_pyramid(spark, sf):
     hours = F.floor((F.expr(r.MILLIS) - F.lit(1_704_067_200_000)) / 3_600_000)
-    bands = r.table(spark, sf, "events").groupBy(F.col("user_id").alias("chapter_id"), hours.alias("bucket"), F.col("event_type").alias("band")).agg(F.max("value").alias("value"))
+    events = r.table(spark, sf, "events")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // pyramid.TASK_CELLS))
+    rows = events.select(F.col("user_id").alias("chapter_id"), hours.alias("bucket"), F.col("event_type").alias("band"), "value")
+    bands = rows.repartition(tasks, "chapter_id", "bucket", "band").groupBy("chapter_id", "bucket", "band").agg(F.max("value").alias("value"))
     return pyramid.max_pyramid(bands, stop=64)

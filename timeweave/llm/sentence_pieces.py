@@ -96,16 +96,25 @@ class Pieces:
     def stays_apart(self, before: int, piece: int) -> bool:
         """Whether merging the characters of two pieces ends with these two (or, at the start, this one)."""
         left = self.text_of[before] if before >= 0 else ""
-        symbols = list(left + self.text_of[piece])
-        rank = self.rank
-        while len(symbols) > 1:
-            ranks = [rank.get(a + b, LOWEST) for a, b in zip(symbols, symbols[1:])]
+        symbols, rank = list(left + self.text_of[piece]), self.rank.get
+        first = len(left)  # the piece's first symbol
+        ranks = [rank(a + b, LOWEST) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
             top = max(ranks)
             if top == LOWEST:
                 break
             at = ranks.index(top)
+            if at + 1 == first:  # a merge across the two
+                return False
+            first -= at < first
+            # Only the merged symbol's neighbours have other ranks than before.
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols == ([left] if left else []) + [self.text_of[piece]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(symbols[at] + symbols[at + 1], LOWEST)
+            if at:
+                ranks[at - 1] = rank(symbols[at - 1] + symbols[at], LOWEST)
+        return len(symbols) == (2 if left else 1)
 
     def compatible(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         keys = ((before + 2) * len(self.text_of) + piece).tolist()
@@ -242,8 +251,8 @@ def encode(df: DataFrame, model: bytes, text: str = "text", with_text: bool = Fa
                 [*(batch.column(f.name) for f in keep), flat, pa.array(np.diff(sizes).astype(np.int64)), pa.array(decoded, pa.string())],
                 names=[f.name for f in keep] + list(ADDED),
             )
-        # A worker lives on for tasks of other operators; it should not hold the tables meanwhile.
-        pieces.forget()
+        # A worker lives on for tasks of other operators; it should not hold the segments meanwhile.
+        pieces.remembered = {}
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,8 @@ the first one.
   meet, so a piece costs little more than its first rows.
 * Which entries are asked is a guess: a band around the straight line to the end and one around the line of
   the stretch settled before.  Where the path leaves the band, the next round starts there with a band
-  four times as wide.  As no band can miss that is as wide as the other sequence, the rounds are at most the
+  four times as wide.  Where cursors always go on, one piece a block is asked before; the mean way of these gives the
+  line, and the band widens with the root of the blocks, as the path strays from it.  As no band can miss that is as wide as the other sequence, the rounds are at most the
   logarithm of its length to the base four; a round settles all blocks that its bands cover.
 * Composition is by a tree with ``FAN`` maps a node: no task holds more than ``FAN`` blocks of one group.
 """
@@ -27,6 +28,7 @@ from timeweave.session import cut_lineage
 PIECE = 32
 FAN = 256
 WIDER = 4
+STRAY = 3
 
 
 def _floor(value: Column, by: int) -> Column:
@@ -76,14 +78,22 @@ def follow(maps: DataFrame, front: DataFrame, group: str, top: int | None = None
     return found.select(group, F.explode_outer(_trace(F.col("at"), F.col("steps"))).alias("p")).filter(F.col("p").isNotNull()).select(group, "p.*").distinct()
 
 
-def entries(blocks: DataFrame, sizes: DataFrame, group: str, reach: int, maps: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+def entries(blocks: DataFrame, sizes: DataFrame, group: str, reach: int, maps: Callable[[DataFrame], DataFrame],
+            probe: bool = False) -> tuple[DataFrame, int]:
     """(group, block, entry) of every block, and the rounds it took.
 
     ``blocks(group, block)`` are numbered from 0, ``sizes(group, blocks, last)`` hold their number and the last row a
     cursor can stand at; a cursor starts at 0, never goes back, and goes on by at most ``reach`` a block.
     ``maps`` adds to rows (group, block, piece) the ``exits`` for the entries of the piece.
     """
-    front = cut_lineage(sizes.select(group, F.lit(0).cast("long").alias(BLOCK), F.lit(0).cast("long").alias("entry"), F.lit(0.0).alias("speed")))
+    front = sizes.select(group, F.lit(0).cast("long").alias(BLOCK), F.lit(0).cast("long").alias("entry"), F.lit(0.0).alias("speed"))
+    if probe:
+        line = _floor(F.col(BLOCK) * (F.col("last") + 1) / F.col("blocks"), PIECE)
+        asked = blocks.join(sizes, group).select(group, F.col(BLOCK).cast("long").alias(BLOCK), line.alias("piece"))
+        tried = maps(asked).join(sizes, group).select(group, "last", F.posexplode("exits").alias("i", "exit"), "piece")
+        speeds = tried.filter(F.col("exit") <= F.col("last")).groupBy(group).agg(F.avg(F.col("exit") - F.col("piece") * PIECE - F.col("i")).alias("__speed"))
+        front = front.join(speeds, group, "left").select(group, BLOCK, "entry", F.coalesce("__speed", "speed").alias("speed"))
+    front = cut_lineage(front)
     known, width, rounds = front.select(group, BLOCK, "entry"), PIECE, 0
     while True:
         rounds += 1
@@ -95,10 +105,12 @@ def entries(blocks: DataFrame, sizes: DataFrame, group: str, reach: int, maps: C
         def band(speed: Column) -> Column:
             middle = F.col("__entry") + steps * speed
             limit = lambda x: F.least(F.greatest(x, least.cast("double")), most.cast("double"))
-            return F.sequence(_floor(limit(middle - width), PIECE), _floor(limit(middle + width), PIECE))
+            half = STRAY * F.sqrt(steps) * width if probe else F.lit(width)
+            return F.sequence(_floor(limit(middle - half), PIECE), _floor(limit(middle + half), PIECE))
 
         straight = (F.col("last") + 1 - F.col("__entry")) / F.greatest(F.lit(1), F.col("blocks") - F.col("__at"))
-        pieces = F.explode(F.array_distinct(F.concat(band(straight), band(F.col("speed"))))).alias("piece")
+        lines = band(F.col("speed")) if probe else F.array_distinct(F.concat(band(straight), band(F.col("speed"))))
+        pieces = F.explode(lines).alias("piece")
         found = cut_lineage(maps(ahead.select(group, F.col(BLOCK).cast("long").alias(BLOCK), pieces)))
         path = cut_lineage(follow(found, front.select(group, BLOCK, "entry"), group))
         known = known.unionByName(path.join(front.select(group, F.col(BLOCK).alias("__at")), group).filter(F.col(BLOCK) > F.col("__at")).drop("__at"))
